@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sleuthframe.cluster import ship
-from sleuthframe.llm import bpe, language_id, near_dup
+from sleuthframe.llm import bpe, contamination, language_id, near_dup, repeats
 from sleuthframe.llm.common import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,6 +16,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language ID", language_id.keep_identified),
     ("MinHash near-dedup", near_dup.drop_near_duplicates),
+    ("suffix-array dedup", repeats.drop_repeats),
+    ("benchmark decontamination", contamination.drop_leaks),
     ("BPE encoding", bpe.encode_stage),
 ]
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, language_id, near_dup, quality, token_counts, url_filter
+from . import avi, bpe, contamination, language_id, near_dup, quality, repeats, token_counts, url_filter
 
-MODULES = [near_dup, bpe, avi, token_counts, language_id, url_filter, quality]
+MODULES = [near_dup, repeats, bpe, avi, token_counts, language_id, contamination, url_filter, quality]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: f for m in MODULES for k, f in m.SQL.items()}
