@@ -146,6 +146,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 2_000_000
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if a count shows it is small; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def keep_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Left-semi join on key: broadcast behind a count, shuffled beyond it."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_semi")
+    return df.join(sized(ids), key, "left_semi")

@@ -9,10 +9,12 @@ find a pair at the threshold with probability RECALL. Candidates are checked on
 the exact shingle sets.
 
 The result is a forest, not all pairs, so a group of a million copies gives a
-million rows: each document points to the largest document that contains it.
-To find it, a query is first checked against the largest member of each of its
-buckets. Queries this leaves open are checked against all other members, unless
-too few of their shingles occur in any other document for a container to exist.
+million rows: each document points to a larger document that contains it.
+To find one, a query is first checked against one larger document: of the
+largest members of its buckets that which is in most of them. Queries this
+leaves open are checked against all other larger members of their buckets.
+Documents too few of whose shingles occur in any other document for a container
+to exist are no queries.
 """
 
 from __future__ import annotations
@@ -26,17 +28,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Hashed, Scratch, keep_ids, mix, row_key, table
+from .common import U64, Hashed, Scratch, keep_ids, mix, row_key, sized, table
 
 SHINGLE = 5
 THRESHOLD = 0.6
 RECALL = 0.95
 #: Hash functions; the rows a band that a banding may have.
-HASHES = 96
+HASHES = 64
 ROWS = (2, 1)
 #: One shingle in SAMPLE, by hash, counts to tell how many of a document's shingles occur elsewhere.
-SAMPLE = 8
+SAMPLE = 16
+#: Without a sampled shingle that occurs elsewhere, documents with fewer shingles than this are queries all the same.
+TINY = 96
 SIZES = 25
+#: Ids in [0, ID_RANGE) are the upper bits of a document's key, so that keys sort as ids do.
+ID_BITS = 24
+ID_RANGE = 1 << 38
 
 
 def jaccard(t: float, q: float, u: float) -> float:
@@ -79,7 +86,7 @@ _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    x = (shingles >> U64(32)).astype(np.uint32)
+    x = mix(shingles.astype(U64)).astype(np.uint32)
     for i in range(0, len(x), 2048):
         h = x[i : i + 2048, None] * _A
         h += _B
@@ -89,17 +96,18 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(Hashed(text).runs(SHINGLE))
+    """The sorted set of 32-bit shingle hashes; two documents of n shingles share about n * n / 2**32 by chance."""
+    return np.unique((Hashed(text).runs(SHINGLE) >> U64(32)).astype(np.uint32))
 
 
 def keys(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Set size, bucket keys, and of each key its kind: rows << 8 | band, or 0 for a sampled shingle."""
+    """Set size, bucket keys, and of each key its kind: rows << 8 | band, or, for a sampled shingle, -1 less the number of them."""
     s = shingle_set(text)
     if not len(s):
         return 0, np.zeros(0, np.int64), np.zeros(0, np.int16)
     sig = signature(s).astype(U64)
-    out, kinds = [s[s % U64(SAMPLE) == 0]], [np.zeros(0, np.int16)]
-    kinds = [np.zeros(len(out[0]), np.int16)]
+    sample = s[s % SAMPLE == 0].astype(U64)
+    out, kinds = [sample], [np.full(len(sample), max(-32768, -1 - len(sample)), np.int16)]
     for r, b in NEED[part(len(s))].items():
         rows = sig[: r * b].reshape(b, r)
         h = np.arange(b, dtype=U64) + U64(r << 8)
@@ -110,52 +118,64 @@ def keys(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
     return len(s), np.concatenate(out).view(np.int64), np.concatenate(kinds)
 
 
-#: Of two documents the one with more shingles contains the other; then that with the lesser id, nulls last; then by row key.
-def _order(p: str) -> F.Column:
-    return F.struct(F.col(f"{p}n").alias("n"), F.coalesce(-F.col(f"{p}doc_id"), F.lit(-(2**63) + 1)).alias("o"), F.col(f"{p}uid").alias("uid"))
+def _uid() -> F.Column:
+    """A key for (doc_id, text) that sorts by doc_id; ids out of range and null ids come last."""
+    i, h = F.col("doc_id").cast("long"), row_key()
+    own = F.shiftleft(i, ID_BITS) + h.bitwiseAND((1 << ID_BITS) - 1)
+    return F.when((i >= 0) & (i < ID_RANGE), own).otherwise(F.lit(1 << 62) + h.bitwiseAND((1 << 62) - 1))
+
+
+def _ids(df: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns' keys as ids; only ids out of range need to be looked up."""
+    odd = None
+    for c in columns:
+        df = df.withColumn(f"{c}_id", F.when(F.col(c) < 1 << 62, F.shiftright(c, ID_BITS)))
+    if not df.filter(" or ".join(f"{c} >= {1 << 62}" for c in columns)).isEmpty():
+        odd = rows.filter((F.col("doc_id") < 0) | (F.col("doc_id") >= ID_RANGE)).select(F.col("uid").alias("odd"), F.col("doc_id").alias("odd_id")).distinct()
+        for c in columns:
+            df = df.join(odd, F.col(c) == F.col("odd"), "left").withColumn(f"{c}_id", F.coalesce(f"{c}_id", "odd_id")).drop("odd", "odd_id")
+    return df
 
 
 def _allowed() -> F.Column:
     """Whether a band counts for the sizes of query and member."""
     plan = F.array(*(F.array(*(F.lit(r << 8 | b) for r, b in row)) for row in PLAN))
     p = lambda c: F.least(F.floor(F.log2(c)), F.lit(SIZES - 1)).cast("int")
-    pick = plan[p(F.col("n"))][p(F.col("x.n"))]
-    return (F.shiftright(pick, 8) == F.shiftright(F.col("kind").cast("int"), 8)) & (F.col("kind").cast("int").bitwiseAND(255) < pick.bitwiseAND(255))
+    pick = plan[p(F.col("n"))][p(F.col("xn"))]
+    kind = F.col("kind").cast("int")
+    return (F.shiftright(pick, 8) == F.shiftright(kind, 8)) & (kind.bitwiseAND(255) < pick.bitwiseAND(255))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _check(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact containment of pairs (uid, xuid) where it reaches the threshold, as (uid, xuid, containment)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([x["uid"], pa.array([shingle_set(t).tobytes() for t in x["text"].to_pylist()], pa.binary())], ["uid", "shingles"])
+                yield pa.RecordBatch.from_arrays([x["uid"], x["xuid"], pa.array([shingle_set(t).tobytes() for t in x["text"].to_pylist()], pa.binary())], ["uid", "xuid", "s"])
 
-    return docs.mapInArrow(run, "uid long, shingles binary")
+    texts = rows.select("uid", "text")
+    queries = texts.join(sized(pairs.select("uid", "xuid")), "uid").select("uid", "xuid", "text").mapInArrow(sets, "uid long, xuid long, s binary")
+    members = texts.join(sized(pairs.select(F.col("xuid").alias("uid")).distinct()), "uid", "left_semi").select("uid", F.col("uid").alias("xuid"), "text").mapInArrow(sets, "uid long, xuid long, s binary")
+    both = queries.join(members.select("xuid", F.col("s").alias("xs")), "xuid").select("uid", "xuid", "s", "xs")
 
-
-def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact containment of pairs (uid, x) where it reaches the threshold, as (uid, x, containment)."""
-    x = sets.select(F.col("uid").alias("xuid"), F.col("shingles").alias("xs"))
-    both = pairs.withColumn("xuid", F.col("x.uid")).join(sets, "uid").join(x, "xuid").select("uid", "xuid", "shingles", "xs", F.col("x.n").alias("xn"), F.col("x.o").alias("xo"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.zeros(b.num_rows)
-            for i, (q, s) in enumerate(zip(b["shingles"], b["xs"])):
-                q, s = np.frombuffer(q.as_buffer(), U64), np.frombuffer(s.as_buffer(), U64)
+            for i, (q, s) in enumerate(zip(b["s"], b["xs"])):
+                q, s = np.frombuffer(q.as_buffer(), np.uint32), np.frombuffer(s.as_buffer(), np.uint32)
                 at = np.searchsorted(s, q)
                 at[at == len(s)] = 0
                 got[i] = np.count_nonzero(s[at] == q) / len(q)
-            ok = pa.array(got >= THRESHOLD)
-            yield pa.RecordBatch.from_arrays([b["uid"], b["xuid"], b["xn"], b["xo"], pa.array(got)], ["uid", "xuid", "xn", "xo", "containment"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([b["uid"], b["xuid"], pa.array(got)], ["uid", "xuid", "containment"]).filter(pa.array(got >= THRESHOLD))
 
-    found = both.mapInArrow(run, "uid long, xuid long, xn int, xo long, containment double")
-    return found.select("uid", F.struct(F.col("xn").alias("n"), F.col("xo").alias("o"), F.col("xuid").alias("uid")).alias("x"), "containment")
+    return both.mapInArrow(compare, "uid long, xuid long, containment double").dropDuplicates(["uid", "xuid"])
 
 
-def containers(docs: DataFrame, s: Scratch) -> DataFrame:
-    """Of each document that another one contains: (uid, doc_id, parent, parent_id, containment); a row for each distinct (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("uid", row_key())
+def containers(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The documents as (uid, doc_id, text), and of each that another one contains (uid, parent, containment), once for each distinct (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("uid", _uid())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,36 +184,35 @@ def containers(docs: DataFrame, s: Scratch) -> DataFrame:
                 got = [keys(t) for t in x["text"].to_pylist()]
                 m = np.array([len(k) for _, k, _ in got])
                 which = pa.array(np.repeat(np.arange(len(got)), m))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k, _ in got])), x["uid"].take(which), x["doc_id"].take(which), pa.array(np.repeat(np.array([n for n, _, _ in got], np.int32), m)), pa.array(np.concatenate([k for _, _, k in got]))], ["key", "uid", "doc_id", "n", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k, _ in got])), x["uid"].take(which), pa.array(np.repeat(np.array([n for n, _, _ in got], np.int32), m)), pa.array(np.concatenate([k for _, _, k in got]))], ["key", "uid", "n", "kind"])
 
-    bands = rows.mapInArrow(run, "key long, uid long, doc_id long, n int, kind short")
+    bands = rows.select("uid", "text").mapInArrow(run, "key long, uid long, n int, kind short")
     by_key = W.partitionBy("key")
-    # Repeated rows share a uid, so least and greatest differ only between documents.
-    bands = bands.withColumn("x", F.max(_order("")).over(by_key)).withColumn("least", F.min("uid").over(by_key)).withColumn("most", F.max("uid").over(by_key))
-    shared = s.table(bands.filter("least <> most").select("key", "uid", "doc_id", "n", "kind", "x"))
-
-    # A query with too few shared shingles has no container, but for one chance in about 200.
-    share = F.col("shared") * SAMPLE / F.col("n")
-    sampled = F.col("n") / SAMPLE
-    open_ = shared.groupBy("uid", "doc_id", "n").agg(F.count_distinct(F.when(F.col("kind") == 0, F.col("key"))).alias("shared")).filter(share >= THRESHOLD - 2.6 * F.sqrt(F.lit(THRESHOLD * (2 - THRESHOLD)) / sampled))
-    queries = s.table(open_.select("uid", "doc_id", "n"))
-
-    banded = shared.filter("kind <> 0").join(queries.select("uid"), "uid", "left_semi")
-    hubs = s.table(banded.filter((F.col("x.uid") != F.col("uid")) & _allowed()).select("uid", "x").distinct())
-    sets1 = s.table(_sets(keep_ids(rows.select("uid", "text"), "uid", hubs.select("uid").unionByName(hubs.select(F.col("x.uid").alias("uid"))).distinct()).dropDuplicates(["uid"])))
-    first = s.table(_check(hubs, sets1))
-
-    # The rest: queries without a container so far, against all larger members of their buckets but the hubs.
-    rest = banded.join(first.select("uid").distinct(), "uid", "left_anti").select("key", "uid", "doc_id", "n", "kind")
-    members = shared.filter("kind <> 0").select("key", _order("").alias("x"))
-    pairs = rest.withColumn("me", _order("")).join(members, "key").filter((F.col("x") > F.col("me")) & (F.col("x.uid") != F.col("uid")) & _allowed()).select("uid", "x").distinct()
-    more = s.table(pairs.join(hubs, ["uid", "x"], "left_anti"))
-    ids2 = more.select("uid").unionByName(more.select(F.col("x.uid").alias("uid"))).distinct()
-    sets2 = s.table(_sets(keep_ids(rows.select("uid", "text"), "uid", ids2).dropDuplicates(["uid"])))
-    best = first.unionByName(_check(more, sets2)).groupBy("uid").agg(F.max(F.struct("x", "containment")).alias("b"))
-    # No container of another document is left to be named twice: x is unique to its uid.
-    named = best.join(queries, "uid").select("uid", "doc_id", F.col("b.x.uid").alias("parent"), F.when(F.col("b.x.o") > -(2**63) + 1, -F.col("b.x.o")).alias("parent_id"), F.col("b.containment").alias("containment"))
-    return s.table(named.dropDuplicates(["uid"]))
+    # The largest member, of equals that with the least key; repeated rows share a key, so least and greatest differ only between documents.
+    top = F.max(F.struct("n", (-F.col("uid")).alias("o"))).over(by_key)
+    bands = bands.withColumn("x", top).withColumn("least", F.min("uid").over(by_key)).withColumn("most", F.max("uid").over(by_key))
+    shared = s.table(bands.filter("least <> most").select("key", "uid", "n", "kind", F.col("x.n").alias("xn"), (-F.col("x.o")).alias("xuid")))
+
+    # Of a document with a container at least THRESHOLD of the sampled shingles occur elsewhere, but for chance (one case in 200).
+    sampled = shared.filter("kind < 0").groupBy("uid").agg(F.count("*").alias("hit"), F.max(-1 - F.col("kind").cast("int")).alias("m"))
+    likely = sampled.filter(F.col("hit") / F.col("m") >= THRESHOLD - 2.6 * F.sqrt(F.lit(THRESHOLD * (1 - THRESHOLD)) / F.col("m"))).select("uid")
+    tiny = shared.filter((F.col("kind") > 0) & (F.col("n") < TINY)).select("uid")
+    queries = s.table(likely.unionByName(tiny).distinct())
+
+    banded = shared.filter("kind > 0")
+    hubs = keep_ids(banded.filter((F.col("xuid") != F.col("uid")) & _allowed()), "uid", queries)
+    hubs = hubs.groupBy("uid", "xuid", "xn").agg(F.count("*").alias("c")).groupBy("uid").agg(F.max_by("xuid", F.struct("c", "xn", -F.col("xuid"))).alias("xuid"))
+    hubs = s.table(hubs)
+    first = s.table(_check(rows, hubs))
+
+    # The rest: queries without a container so far, against all larger members of their buckets.
+    left = s.table(queries.join(first.select("uid"), "uid", "left_anti"))
+    rest = keep_ids(banded.select("key", "uid", "n", "kind"), "uid", left)
+    members = banded.select("key", F.col("uid").alias("xuid"), F.col("n").alias("xn"))
+    larger = (F.col("xn") > F.col("n")) | (F.col("xn") == F.col("n")) & (F.col("xuid") < F.col("uid"))
+    pairs = rest.join(members, "key").filter(larger & _allowed()).select("uid", "xuid").distinct().join(hubs, ["uid", "xuid"], "left_anti")
+    more = _check(rows, s.table(pairs)).groupBy("uid").agg(F.max_by(F.struct("xuid", "containment"), F.struct("containment", -F.col("xuid"))).alias("b")).select("uid", "b.xuid", "b.containment")
+    return rows, s.table(first.unionByName(more).withColumnRenamed("xuid", "parent"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -201,20 +220,22 @@ def groups(docs: DataFrame) -> DataFrame:
 
     Documents without a word (null or empty text too) are in no group. Rows
     with the same doc_id and text are one document; a doc_id with two texts is
-    two documents. Copies of equal size point to the one with the least doc_id,
-    null last. Other columns are ignored; an empty table gives no rows.
+    two documents. Copies of equal size lead to the one with the least doc_id,
+    negative and null ones last. Other columns are ignored; an empty table
+    gives no rows.
     """
-    spark = docs.sparkSession
-    with Scratch(spark) as s:
-        return s.result(_roots(containers(docs, s), s).select("doc_id", F.col("root_id").alias("kept_id"), F.col("parent_id").alias("container_id"), "containment"))
+    with Scratch(docs.sparkSession) as s:
+        rows, forest = containers(docs, s)
+        named = _ids(_roots(forest, s), rows, "uid", "root", "parent")
+        return s.result(named.select(F.col("uid_id").alias("doc_id"), F.col("root_id").alias("kept_id"), F.col("parent_id").alias("container_id"), "containment"))
 
 
 def _roots(forest: DataFrame, s: Scratch) -> DataFrame:
     """Follows the parents to the top by pointer doubling; the paths are short, as each step goes to a larger document."""
-    now = forest.withColumn("root", F.col("parent")).withColumn("root_id", F.col("parent_id"))
+    now = forest.withColumn("root", F.col("parent"))
     while True:
-        up = now.select(F.col("uid").alias("root"), F.col("root").alias("up"), F.col("root_id").alias("up_id"))
-        step = s.table(now.join(up, "root", "left").select("uid", "doc_id", "parent", "parent_id", "containment", F.coalesce("up", "root").alias("root"), F.when(F.col("up").isNotNull(), F.col("up_id")).otherwise(F.col("root_id")).alias("root_id"), F.col("up").isNotNull().alias("moved")))
+        up = now.select(F.col("uid").alias("root"), F.col("root").alias("up"))
+        step = s.table(now.join(up, "root", "left").select("uid", "parent", "containment", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
         now = step.drop("moved")
         if step.filter("moved").isEmpty():
             return now
@@ -223,15 +244,12 @@ def _roots(forest: DataFrame, s: Scratch) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, and of rows repeated with the same doc_id and text one row; documents without a word stay but for such repeats. docs' own columns."""
     with Scratch(spark) as s:
-        gone = containers(docs, s).select("uid")
-        gone = s.result(gone)
-    key = "__uid"
-    while key in docs.columns:
+        gone = s.result(containers(docs, s)[1].select("uid"))
+    key, names = "__uid", docs.columns
+    while key in names:
         key += "_"
-    kept = docs.withColumn(key, row_key())
-    gone = gone.withColumnRenamed("uid", key)
-    kept = kept.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone, key, "left_anti")
-    return kept.dropDuplicates([key]).select(*(f"`{c}`" for c in docs.columns))
+    kept = docs.withColumn(key, _uid()).join(sized(gone.withColumnRenamed("uid", key)), key, "left_anti")
+    return kept.dropDuplicates([key]).select(*(f"`{c}`" for c in names))
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
