@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,3 +29,42 @@ def ship(spark: SparkSession) -> None:
     at.write_bytes(data.getvalue())
     sc.addPyFile(str(at))
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; one is made only in local mode, where none is set."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="sleuthframe-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return at
+
+
+class Scratch:
+    """Tables in the shared folder for the length of a ``with`` block; they cut the lineage."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.at = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.at}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """A checkpoint outlives the block."""
+        return df.checkpoint()
+
+    def __exit__(self, *exc: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
