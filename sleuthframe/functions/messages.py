@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LABELS = ("fix", "feature", "refactor", "debt", "emergency")
 _WORDS = {
@@ -55,7 +56,7 @@ def is_good(subject: Column) -> Column:
     return (F.length(subject) > 10) & (signs | typed | ~F.lower(F.trim(subject)).isin(*POOR))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def py_format(value: pd.Series, spec: pd.Series) -> pd.Series:
     """Python's number format, which rounds the exact binary value half to even; built-in formats don't."""
     return pd.Series([None if pd.isna(v) else format(v, s) for v, s in zip(value, spec)])

@@ -57,6 +57,6 @@ def collapsed(findings: DataFrame, least: int = 3) -> DataFrame:
     w = W.partitionBy("check", "dir")
     rows = findings.withColumn("dir", parent(F.col("file"))).withColumn("n", F.count("*").over(w))
     alone = rows.filter(F.col("n") < least).select(*findings.columns)
-    many = rows.filter(F.col("n") >= least).groupBy("check", "dir").agg(F.min("seq").alias("seq"), F.min("severity").alias("severity"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("seq", name(F.col("file")).alias("name")))).alias("names"))
+    many = rows.filter(F.col("n") >= least).groupBy("check", "dir").agg(F.min("seq").alias("seq"), F.min("check_ord").alias("check_ord"), F.min("severity").alias("severity"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("seq", name(F.col("file")).alias("name")))).alias("names"))
     said = F.concat(F.col("dir"), F.lit("/ — "), F.col("n").cast("string"), F.lit(" files in this package flagged ("), F.array_join(F.transform("names", lambda x: x["name"]), ", "), F.lit(") — tightly-coupled subsystem"))
-    return alone.unionByName(many.select(F.col("dir").alias("file"), F.lit(1).alias("line"), "check", said.alias("message"), "severity", "seq").select(*findings.columns))
+    return alone.unionByName(many.select(F.col("dir").alias("file"), F.lit(1).alias("line"), "check", said.alias("message"), "severity", "check_ord", "seq").select(*findings.columns))
