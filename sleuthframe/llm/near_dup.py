@@ -9,10 +9,13 @@ find a pair at the threshold with probability RECALL. Candidates are checked on
 the exact shingle sets.
 
 The result is a forest, not all pairs, so a group of a million copies gives a
-million rows: each document points to a larger document that contains it.
-To find one, a query is first checked against one larger document: of the
-largest members of its buckets that which is in most of them. Queries this
-leaves open are checked against all other larger members of their buckets.
+million rows: each document points to a larger document that contains it. To
+keep the work linear too, a bucket isn't expanded into its pairs: its members
+are ordered by size, and each is compared with the next one and with the
+largest. A container is missed only if in every bucket it shares with the query
+there is one document between them and another one above; a passage that
+thousands of documents share fills its own buckets only. Of these candidates
+the one found in most buckets is checked first, the others only if it fails.
 Documents too few of whose shingles occur in any other document for a container
 to exist are no queries.
 """
@@ -34,13 +37,15 @@ SHINGLE = 5
 THRESHOLD = 0.6
 RECALL = 0.95
 #: Hash functions; the rows a band that a banding may have.
-HASHES = 64
+HASHES = 48
 ROWS = (2, 1)
 #: One shingle in SAMPLE, by hash, counts to tell how many of a document's shingles occur elsewhere.
 SAMPLE = 16
 #: Without a sampled shingle that occurs elsewhere, documents with fewer shingles than this are queries all the same.
 TINY = 96
 SIZES = 25
+#: Parts that share the checks against one member.
+SALT = 16
 #: Ids in [0, ID_RANGE) are the upper bits of a document's key, so that keys sort as ids do.
 ID_BITS = 24
 ID_RANGE = 1 << 38
@@ -146,31 +151,48 @@ def _allowed() -> F.Column:
     return (F.shiftright(pick, 8) == F.shiftright(kind, 8)) & (kind.bitwiseAND(255) < pick.bitwiseAND(255))
 
 
-def _check(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact containment of pairs (uid, xuid) where it reaches the threshold, as (uid, xuid, containment)."""
+def _sets(rows: DataFrame, uids: DataFrame) -> DataFrame:
+    """(uid, s): the shingle sets of some documents."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([x["uid"], x["xuid"], pa.array([shingle_set(t).tobytes() for t in x["text"].to_pylist()], pa.binary())], ["uid", "xuid", "s"])
+                yield pa.RecordBatch.from_arrays([x["uid"], pa.array([shingle_set(t).tobytes() for t in x["text"].to_pylist()], pa.binary())], ["uid", "s"])
+
+    return keep_ids(rows.select("uid", "text"), "uid", uids).mapInArrow(run, "uid long, s binary")
+
 
-    texts = rows.select("uid", "text")
-    queries = texts.join(sized(pairs.select("uid", "xuid")), "uid").select("uid", "xuid", "text").mapInArrow(sets, "uid long, xuid long, s binary")
-    members = texts.join(sized(pairs.select(F.col("xuid").alias("uid")).distinct()), "uid", "left_semi").select("uid", F.col("uid").alias("xuid"), "text").mapInArrow(sets, "uid long, xuid long, s binary")
-    both = queries.join(members.select("xuid", F.col("s").alias("xs")), "xuid").select("uid", "xuid", "s", "xs")
+def _check(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact containment of pairs (uid, xuid) where it reaches the threshold, as (uid, xuid, containment).
+
+    Each member's set goes before those of its queries in one sorted stream, so
+    a member of thousands of buckets isn't copied for each query; SALT parts
+    share the work of such a member.
+    """
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALT)))
+    members = pairs.select("xuid", "salt").distinct().join(sets.select(F.col("uid").alias("xuid"), "s").dropDuplicates(["xuid"]), "xuid").select("xuid", "salt", F.lit(None).cast("long").alias("uid"), "s")
+    queries = pairs.join(sets.dropDuplicates(["uid"]), "uid").select("xuid", "salt", "uid", "s")
+    stream = members.unionByName(queries).repartition("xuid", "salt").sortWithinPartitions("xuid", "salt", F.col("uid").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros(0, np.uint32)
         for b in batches:
-            got = np.zeros(b.num_rows)
-            for i, (q, s) in enumerate(zip(b["s"], b["xs"])):
-                q, s = np.frombuffer(q.as_buffer(), np.uint32), np.frombuffer(s.as_buffer(), np.uint32)
-                at = np.searchsorted(s, q)
-                at[at == len(s)] = 0
-                got[i] = np.count_nonzero(s[at] == q) / len(q)
-            yield pa.RecordBatch.from_arrays([b["uid"], b["xuid"], pa.array(got)], ["uid", "xuid", "containment"]).filter(pa.array(got >= THRESHOLD))
-
-    return both.mapInArrow(compare, "uid long, xuid long, containment double").dropDuplicates(["uid", "xuid"])
+            out: list[tuple[int, int, float]] = []
+            for uid, xuid, s in zip(b["uid"].to_pylist(), b["xuid"].to_pylist(), b["s"]):
+                s = np.frombuffer(s.as_buffer(), np.uint32)
+                if uid is None:
+                    whole = s.copy()
+                    continue
+                at = np.searchsorted(whole, s)
+                at[at == len(whole)] = 0
+                got = np.count_nonzero(whole[at] == s) / len(s)
+                if got >= THRESHOLD:
+                    out.append((uid, xuid, got))
+            cols = list(zip(*out)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["uid", "xuid", "containment"])
+
+    return stream.mapInArrow(compare, "uid long, xuid long, containment double")
 
 
 def containers(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -187,31 +209,27 @@ def containers(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k, _ in got])), x["uid"].take(which), pa.array(np.repeat(np.array([n for n, _, _ in got], np.int32), m)), pa.array(np.concatenate([k for _, _, k in got]))], ["key", "uid", "n", "kind"])
 
     bands = rows.select("uid", "text").mapInArrow(run, "key long, uid long, n int, kind short")
-    by_key = W.partitionBy("key")
-    # The largest member, of equals that with the least key; repeated rows share a key, so least and greatest differ only between documents.
-    top = F.max(F.struct("n", (-F.col("uid")).alias("o"))).over(by_key)
-    bands = bands.withColumn("x", top).withColumn("least", F.min("uid").over(by_key)).withColumn("most", F.max("uid").over(by_key))
-    shared = s.table(bands.filter("least <> most").select("key", "uid", "n", "kind", F.col("x.n").alias("xn"), (-F.col("x.o")).alias("xuid")))
+    # By size, of equals the least key last; repeated rows share a key, so a bucket of one document is one whose least and greatest are the same.
+    w = W.partitionBy("key").orderBy("n", (-F.col("uid")).alias("o"))
+    every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    x = F.struct(F.col("n").alias("xn"), F.col("uid").alias("xuid"))
+    bands = bands.withColumn("top", F.last(x).over(every)).withColumn("next", F.lead(x).over(w)).withColumn("least", F.min("uid").over(every)).withColumn("most", F.max("uid").over(every))
+    shared = s.table(bands.filter("least <> most").select("key", "uid", "n", "kind", "top", "next"))
 
     # Of a document with a container at least THRESHOLD of the sampled shingles occur elsewhere, but for chance (one case in 200).
     sampled = shared.filter("kind < 0").groupBy("uid").agg(F.count("*").alias("hit"), F.max(-1 - F.col("kind").cast("int")).alias("m"))
     likely = sampled.filter(F.col("hit") / F.col("m") >= THRESHOLD - 2.6 * F.sqrt(F.lit(THRESHOLD * (1 - THRESHOLD)) / F.col("m"))).select("uid")
     tiny = shared.filter((F.col("kind") > 0) & (F.col("n") < TINY)).select("uid")
-    queries = s.table(likely.unionByName(tiny).distinct())
-
-    banded = shared.filter("kind > 0")
-    hubs = keep_ids(banded.filter((F.col("xuid") != F.col("uid")) & _allowed()), "uid", queries)
-    hubs = hubs.groupBy("uid", "xuid", "xn").agg(F.count("*").alias("c")).groupBy("uid").agg(F.max_by("xuid", F.struct("c", "xn", -F.col("xuid"))).alias("xuid"))
-    hubs = s.table(hubs)
-    first = s.table(_check(rows, hubs))
-
-    # The rest: queries without a container so far, against all larger members of their buckets.
-    left = s.table(queries.join(first.select("uid"), "uid", "left_anti"))
-    rest = keep_ids(banded.select("key", "uid", "n", "kind"), "uid", left)
-    members = banded.select("key", F.col("uid").alias("xuid"), F.col("n").alias("xn"))
-    larger = (F.col("xn") > F.col("n")) | (F.col("xn") == F.col("n")) & (F.col("xuid") < F.col("uid"))
-    pairs = rest.join(members, "key").filter(larger & _allowed()).select("uid", "xuid").distinct().join(hubs, ["uid", "xuid"], "left_anti")
-    more = _check(rows, s.table(pairs)).groupBy("uid").agg(F.max_by(F.struct("xuid", "containment"), F.struct("containment", -F.col("xuid"))).alias("b")).select("uid", "b.xuid", "b.containment")
+    queries = likely.unionByName(tiny).distinct()
+
+    near = keep_ids(shared.filter("kind > 0"), "uid", s.table(queries)).select("uid", "n", "kind", F.explode(F.array_distinct(F.array("top", "next"))).alias("x")).select("uid", "n", "kind", "x.*")
+    found = near.filter((F.col("xuid") != F.col("uid")) & _allowed()).groupBy("uid", "xuid", "xn").agg(F.count("*").alias("c"))
+    best = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), F.desc("xn"), "xuid"))
+    pairs = s.table(found.withColumn("place", best).select("uid", "xuid", "place"))
+    sets = s.table(_sets(rows, pairs.select(F.explode(F.array("uid", "xuid")).alias("uid")).distinct()))
+    first = s.table(_check(sets, pairs.filter("place = 1").select("uid", "xuid")))
+    rest = pairs.filter("place > 1").join(first.select("uid"), "uid", "left_anti").select("uid", "xuid")
+    more = _check(sets, rest).groupBy("uid").agg(F.max_by(F.struct("xuid", "containment"), F.struct("containment", -F.col("xuid"))).alias("b")).select("uid", "b.xuid", "b.containment")
     return rows, s.table(first.unionByName(more).withColumnRenamed("xuid", "parent"))
 
 
