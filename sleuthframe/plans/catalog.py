@@ -43,7 +43,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _code(check: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = code.Code(code.extract(samples.code_base(table(spark, sf_dir, "supplier"), check).withColumn("file_ord", F.lit(0))))
+    base = code.Code(code.extract(samples.code_base(table(spark, sf_dir, "supplier"), check).withColumn("file_ord", F.lit(0))).cache())
     return code.run(base, [check]).select("file", "line", "check", "severity")
 
 
