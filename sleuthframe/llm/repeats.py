@@ -37,7 +37,9 @@ LENGTH = 50
 GRAM = 12
 #: Runs of GRAM words in a window: an anchor lies at most so many words less one after its start.
 SPAN = LENGTH - GRAM + 1
-RUN = 100_000
+RUN = 40_000
+#: Ranges of keys for each shuffle partition: a range is merged in memory, one at a time.
+RANGES = 8
 NULL_LAST = 2**63 - 1
 
 
@@ -297,7 +299,7 @@ def _found(uid: np.ndarray, o: np.ndarray, start: np.ndarray, end: np.ndarray, f
 
 
 def _parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return RANGES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _suffix_matches(texts: DataFrame) -> DataFrame:
