@@ -70,7 +70,7 @@ def report(found: DataFrame, files: int, summary: bool, top: int) -> tuple[str,
     by: dict[str, set[str]] = {}
     for r in rows:
         by.setdefault(r.file, set()).add(r.check)
-    hot = sorted(((f, c) for f, c in by.items() if len(c) >= 3), key=lambda x: -len(x[1]))
+    hot = sorted(((f, c) for f, c in by.items() if len(c) >= 3), key=lambda pair: len(pair[1]), reverse=True)
     if hot:
         lines += ["=== convergence hotspots ===", *(f"  {f}: flagged by {len(c)} checks ({', '.join(sorted(c))})" for f, c in hot), ""]
     if summary:
@@ -88,6 +88,11 @@ def report(found: DataFrame, files: int, summary: bool, top: int) -> tuple[str,
     return "\n".join(lines), total
 
 
+def _fail(why: str) -> int:
+    print("Error:", why, file=sys.stderr)
+    return 1
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
     every = [*code.CHECKS, *history.CHECKS]
@@ -97,19 +102,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     roots = [Path(t) for t in a.targets]
     if odd := [r for r in roots if not r.exists()]:
-        print(f"Error: {odd[0]} doesn't exist", file=sys.stderr)
-        return 1
+        return _fail(f"{odd[0]} doesn't exist")
     try:
         settings = config.load(roots[0], every)
         if not settings and (up := config.above(roots[0])):
             print(f"Warning: settings in {up} aren't used for {roots[0]}", file=sys.stderr)
-    except config.ConfigError as e:
-        print(f"Error: {e}", file=sys.stderr)
-        return 1
+    except config.ConfigError as problem:
+        return _fail(str(problem))
     a = merged(a, settings)
     if a.check and a.check not in mine:
-        print(f"Error: unknown check '{a.check}'", file=sys.stderr)
-        return 1
+        return _fail(f"unknown check '{a.check}'")
     spark = spark or SparkSession.builder.getOrCreate()
     ship(spark)
     src = repo.files(spark, roots, a.exclude).cache()
@@ -120,9 +122,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         try:
             log = repo.log(spark, roots[0], history.window_days(a.window))
-        except repo.NotARepository as e:
-            print(f"Error: {e}", file=sys.stderr)
-            return 1
+        except repo.NotARepository as problem:
+            return _fail(str(problem))
         imports = base("import_link", "path", F.col("name").alias("module"), F.col("n").alias("level"), F.col("flag").alias("from_import"))
         log["reviews"] = log["reviews"].limit(0) if a.ignore_reviewed else log["reviews"]
         found = history.run(history.History(base.files, **log, imports=imports, window=a.window, messages=a.commit_messages, expected=a.expected), only)

@@ -38,7 +38,7 @@ def find(folder: Path) -> tuple[Path, dict[str, Any]] | None:
 def validate(config: dict[str, Any], source: str, checks: Iterable[str]) -> dict[str, Any]:
     known = {*LISTS, *TEXTS, PAIRS}
     if odd := sorted(set(config) - known):
-        raise ConfigError(f"{source}: unknown key(s): {', '.join(odd)}; there are {', '.join(sorted(known))}")
+        raise ConfigError(f"{source}: no such key(s): {', '.join(odd)}; there are {', '.join(sorted(known))}")
     checks = set(checks)
     for k, v in config.items():
         kind = type(v).__name__
@@ -52,9 +52,9 @@ def validate(config: dict[str, Any], source: str, checks: Iterable[str]) -> dict
                 raise ConfigError(f"{source}: '{k}' must be a list of pairs, got {kind}")
             for i, x in enumerate(v):
                 if not isinstance(x, list) or len(x) != 2:
-                    raise ConfigError(f"{source}: '{k}' items must be 2-element lists, not {x!r} at index {i}")
-                if not all(isinstance(s, str) for s in x):
-                    raise ConfigError(f"{source}: '{k}' items must contain strings, not {x!r} at index {i}")
+                    raise ConfigError(f"{source}: item {i} of '{k}' is {x!r}, not one of the 2-element lists")
+                if {type(s) for s in x} != {str}:
+                    raise ConfigError(f"{source}: item {i} of '{k}' must contain strings")
         elif not isinstance(v, str):
             raise ConfigError(f"{source}: '{k}' must be a string, got {kind}")
         elif k in CHOICES and v not in CHOICES[k]:
@@ -62,9 +62,9 @@ def validate(config: dict[str, Any], source: str, checks: Iterable[str]) -> dict
         elif k == "check" and v not in checks:
             raise ConfigError(f"{source}: unknown check '{v}'")
         elif k == "git-window" and not WINDOW.fullmatch(v):
-            raise ConfigError(f"{source}: invalid git-window '{v}'; it is a number and d, m or y, as 6m")
+            raise ConfigError(f"{source}: '{v}' is no git-window; that is a number and d, m or y, as 6m")
     if bad := [s for s in config.get("skip", []) if s not in checks]:
-        raise ConfigError(f"{source}: unknown check(s) in skip: {', '.join(bad)}")
+        raise ConfigError(f"{source}: skip names no check: {' '.join(bad)}")
     return config
 
 

@@ -11,15 +11,15 @@ LABELS = ("fix", "feature", "refactor", "debt", "emergency")
 _WORDS = {
     "fix": r"fix|bug|bugfix|patch|correct|repair|resolve|hotfix",
     "feature": r"add|implement|introduce|support|create|new",
-    "refactor": r"refactor|restructure|reorganize|simplify|clean\s*up|extract|inline|rename|move",
-    "debt": r"workaround|hack|temporary|todo|fixme|quick\s*fix|stopgap|kludge",
+    "refactor": r"clean\s*up|extract|inline|move|refactor|rename|reorganize|restructure|simplify",
+    "debt": r"fixme|hack|kludge|quick\s*fix|stopgap|temporary|todo|workaround",
     "emergency": r"hotfix|urgent|emergency|revert|rollback|cherry.?pick",
 }
 _SIGNS = {"fix": "\U0001f41b \U0001f6a8 ✅ \U0001f527", "feature": "✨ \U0001f680 \U0001f389", "refactor": "♻️ \U0001f3a8 \U0001f4a1", "emergency": "\U0001f525 ⏪"}
-_PREFIX = {"fix": "fix", "feat": "feature", "refactor": "refactor"}
+_PREFIX = dict(zip("feat fix refactor".split(), "feature fix refactor".split()))
 #: Types of conventional commits that make a subject a good one.
-KINDS = ("feat", "fix", "refactor", "docs", "test", "tests", "chore", "style", "perf", "ci", "build", "revert")
-POOR = ("wip", "stuff", "fix", "update", "changes", "tmp", "temp", "asdf")
+KINDS = tuple("build chore ci docs feat fix perf refactor revert style test tests".split())
+POOR = tuple("asdf changes fix stuff temp tmp update wip".split())
 
 
 def kind(subject: Column) -> Column:

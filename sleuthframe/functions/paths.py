@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STABLE_NAMES = ("__init__.py", "conftest.py", "apps.py")
-STABLE_ENDINGS = ("_config.py", "_settings.py", "settings.py", "config.py")
+STABLE_NAMES = tuple("apps.py conftest.py __init__.py".split())
+STABLE_ENDINGS = tuple("config.py settings.py _config.py _settings.py".split())
 
 
 def name(path: Column) -> Column:

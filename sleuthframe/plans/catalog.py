@@ -39,7 +39,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["co_change_pairs"](spark, sf_dir)
 
 
-# ---------------------------------------------------------------------- checks
+# -- checks
 
 
 def _code(check: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ for _name in history.CHECKS:
     QUERIES[_key] = partial(_history, _name)
     SQL[_key] = history_samples.expected_sql(_name)
 
-# ------------------------------------------------------------------- operators
+# -- operators
 
 TOUCHED = "select distinct l_orderkey as hash, 'pkg' || s_nationkey || '/mod' || l_suppkey || '.py' as path from lineitem join supplier on l_suppkey = s_suppkey"
 COMMITS = "select o_orderkey as hash, o_orderdate as ts, o_custkey % 7 as author, o_orderpriority in ('1-URGENT', '2-HIGH') as fix from orders"
@@ -221,7 +221,7 @@ def always_same_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.one_value(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("flag")), ["l_orderkey"], "flag", 3)
 
 
-# --------------------------------------------------------- labels, paths, words
+# -- labels, paths, words
 
 SUBJECTS = "select o_orderkey as hash, case o_orderkey % 6 when 0 then 'fix: order ' || o_custkey when 1 then 'feat(c' || o_custkey % 3 || '): add total' when 2 then 'refactor the ' || lower(o_orderstatus) || ' path' when 3 then 'hotfix for ' || o_orderkey when 4 then 'wip' else 'temporary workaround ' || o_orderkey end as subject from orders"
 
@@ -250,7 +250,7 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", paths.parent(p).alias("parent"), paths.name(p).alias("name"), paths.module(p).alias("module"), paths.is_test(p).alias("is_test"), p.rlike(even).alias("is_match"))
 
 
-# ------------------------------------------------------------- after the checks
+# -- after the checks
 
 FOUND = "select 'f' || l_suppkey as file, l_linenumber as line, 'check-' || l_linenumber as \"check\", case when l_returnflag = 'R' then 'high' when l_returnflag = 'A' then 'medium' else 'low' end as severity, l_orderkey * 10 + l_linenumber as seq, l_linenumber as check_ord from lineitem where l_quantity >= 49"
 

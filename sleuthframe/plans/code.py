@@ -114,7 +114,7 @@ def at(struct: str) -> Column:
     return F.array_join(F.transform(struct, lambda s: F.concat(s["path"], F.lit(":"), s["line"].cast("string"))), ", ")
 
 
-# ---------------------------------------------------------------- architecture
+# -- architecture
 
 
 @check("shared-mutable-module-state")
@@ -158,7 +158,7 @@ def anemic(c: Code) -> DataFrame:
     return say(got, "anemic-domain", text(F.col("name"), " has ", number(F.size("items")), " attributes but no behavior", tail))
 
 
-# --------------------------------------------------------------------- callers
+# -- callers
 
 
 @check("unused-defaults", "high")
@@ -257,7 +257,7 @@ def dict_results(c: Code) -> DataFrame:
     return say(got, "dict-as-dataclass", text(F.col("name"), "() returns a dict with ", number(F.size("items")), " string keys (", shown, ")", tail, "; a dataclass names them"))
 
 
-# ------------------------------------------------------------------------ dead
+# -- dead
 
 
 @check("dead-exceptions", "high")
@@ -297,7 +297,7 @@ for _name, _severity in (("suspicious-fallbacks", "high"), ("exception-flow-cont
     local(_name, _severity)
 
 
-# -------------------------------------------------------------------- patterns
+# -- patterns
 
 
 @check("trivial-wrappers", "low")
@@ -346,7 +346,7 @@ def getattr_strings(c: Code) -> DataFrame:
 local("late-binding-closures", "high")
 
 
-# -------------------------------------------------------------- whole catalogue
+# -- whole catalogue
 
 
 @check("stdlib-alternatives", "low")
@@ -373,7 +373,7 @@ def alternatives(c: Code) -> DataFrame:
     return say(got, "stdlib-alternatives", text(F.col("imports")[0], F.when(F.col("files") == 1, " imported").otherwise(text(" used in ", number("files"), " files")), where), ["pattern"])
 
 
-# ------------------------------------------------------------------ repetition
+# -- repetition
 
 
 @check("scattered-constants", "low")
@@ -410,7 +410,7 @@ def string_parsing(c: Code) -> DataFrame:
     return say(said.unionByName(told), "repeated-string-parsing", F.col("said"), ["way", "x", "index"])
 
 
-# ------------------------------------------------------------------- structure
+# -- structure
 
 
 def _named(struct: str, total: str, most: int, ends: bool = False) -> Column:

@@ -18,7 +18,7 @@ from ..operators import core
 FINDING = "file string, line int, check string, message string, severity string, check_ord int, seq long"
 BULK = 30
 PAIR_LIMIT = 20
-STRUCTURAL = ("tests", "test", "testing", "docs", "docs_src", "documentation", "scripts", "bin", "tools", "examples", "samples", "benchmarks", "dev")
+STRUCTURAL = tuple("benchmarks bin dev docs docs_src documentation examples samples scripts test testing tests tools".split())
 
 
 def window_days(window: str) -> int:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 BALANCE = 4000
 MANY = "\n".join(f"    def m{i}(self):\n        return {i}" for i in range(20))
-LONG = "\n".join(f"    x = {i}" for i in range(99))
+LONG = "    step(x)\n" * 98 + "    step(x)"
 CHAIN = "\n".join(f"    elif v == {i}:\n        return {i}" for i in range(1, 8))
 
 TEXT = """
@@ -208,10 +208,10 @@ def v§(a, b):
     return a + b
 == dict-as-dataclass 1 medium
 def d§():
-    return {"a": 1, "b": 2, "c": 3, "d": 4}
+    return {"red": 7, "green": 8, "blue": 9, "alpha": 0}
 --
 def d§():
-    return {"a": 1, "b": 2, "c": 3}
+    return {"red": 7, "green": 8, "blue": 9}
 == dead-exceptions 1 high
 class Bad§Error(Exception):
     pass
@@ -391,16 +391,16 @@ def f§(x):
                     return 1
 == inconsistent-returns 1 medium
 def f§(x):
-    if x == 1:
+    if x is a:
         return 1
-    if x == 2:
+    if x is b:
         return "two"
     return [3]
 --
 def f§(x):
-    if x == 1:
+    if x is a:
         return 1
-    if x == 2:
+    if x is b:
         return "two"
     return "three"
 == law-of-demeter 1 low

@@ -39,6 +39,7 @@ DISPATCH = words("hookimpl periodic_task receiver shared_task task")
 HOOKS = words("add_arguments form_invalid form_valid formfield_for_choice_field formfield_for_dbfield formfield_for_foreignkey formfield_for_manytomany get_context_data get_form_class get_form_kwargs get_permissions get_queryset get_serializer_class has_add_permission has_change_permission has_delete_permission perform_create perform_update process_exception process_request process_response process_view")
 CLI_OR_INTERFACE = words("abstractmethod argument command group option override pass_context pass_obj")
 NOISE = words("debug dry_run log logger quiet timeout verbose")
+CONTAINERS = words("OrderedDict defaultdict dict list set")
 MUTATORS = words("add append clear discard extend insert pop remove setdefault update")
 TEST_CASES = words("LiveServerTestCase SimpleTestCase TestCase TransactionTestCase")
 TREE_NAVIGATION = words("annotation arg args asname attr bases body cause col_offset comparators ctx decorator_list defaults elts end_col_offset end_lineno exc finalbody func generators handlers id ifs iter keys keywords kw_defaults kwarg kwonlyargs left lineno module names op operand ops orelse posonlyargs returns right slice target targets test value values vararg")
@@ -52,9 +53,10 @@ PLAIN_STRINGS = words("Accept Authorization Cache-Control Content-Disposition Co
 PLAIN_NUMBERS = frozenset(map(int, "3 4 5 6 7 8 9 10 60 64 100 128 200 201 204 256 300 301 302 304 400 401 403 404 500 502 503 512 1000 1024 2048 3600 4096 10000 86400".split()))
 LOGGING = words("critical debug error exception info log warning")
 LOOKUPS = words("get pop setdefault")
-NESTING = (ast.If, ast.For, ast.While, ast.With, ast.AsyncFor, ast.AsyncWith)
-TOKENS = {ast.Assert: "assert", ast.Assign: "assign", ast.Expr: "expr", ast.For: "for", ast.If: "if", ast.Raise: "raise", ast.Return: "return", ast.Try: "try", ast.While: "while", ast.With: "with"}
+NESTING = tuple(getattr(ast, n) for n in words("AsyncFor AsyncWith For If While With"))
+TOKENS = {getattr(ast, n): n.lower() for n in words("Assert Assign Expr For If Raise Return Try While With")}
 RESULTS = {**dict.fromkeys("repr str format chr ascii input".split(), "str"), **dict.fromkeys("int round hash len ord".split(), "int"), "float": "float", "abs": "float", "bool": "bool"}
+BRACKETS = {getattr(ast, n): f"{b[0]}...{b[1]}" for n, b in zip("Dict List Set Tuple".split(), "{} [] {} ()".split())}
 LITERALS = {ast.Dict: "dict", ast.DictComp: "dict", ast.List: "list", ast.ListComp: "list", ast.Tuple: "tuple", ast.Set: "set", ast.SetComp: "set", ast.GeneratorExp: "generator", ast.JoinedStr: "str", ast.FormattedValue: "str"}
 
 
@@ -94,7 +96,16 @@ def is_upper(name: str) -> bool:
 
 
 def dunder(name: str) -> bool:
-    return name.startswith("__") and name.endswith("__")
+    return name[:2] == "__" == name[-2:]
+
+
+def read(node: ast.AST) -> bool:
+    return type(node) is ast.Attribute and type(node.ctx) is ast.Load
+
+
+def own_store(node: ast.AST) -> bool:
+    """An assignment to an attribute of self."""
+    return type(node) is ast.Attribute and type(node.ctx) is ast.Store and bare(node.value) == "self"
 
 
 def body_of(f: ast.AST) -> list[ast.stmt]:
@@ -187,11 +198,9 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def ends(stmts: list[ast.stmt]) -> bool:
+def ends(block: list) -> bool:
     """Every way through the block returns or raises."""
-    if not stmts:
-        return False
-    last = stmts[-1]
+    last = block[-1] if block else None
     return isinstance(last, (ast.Return, ast.Raise)) or isinstance(last, ast.If) and ends(last.body) and ends(last.orelse)
 
 
@@ -230,7 +239,7 @@ def returned_type(value: ast.expr | None) -> str | None:
     return LITERALS.get(type(value))
 
 
-def assigns(body: list[ast.stmt], name: str) -> tuple[bool, bool]:
+def assigns(body: list, name: str) -> tuple:
     """Whether a function declares the name global, and whether it assigns it."""
     as_global = as_target = False
     for n in within(body):
@@ -276,7 +285,7 @@ def guards(s: ast.stmt, var: str) -> bool:
     if not isinstance(s, ast.If):
         return False
     t = s.test
-    if isinstance(t, ast.Compare) and len(t.ops) == 1 and isinstance(t.ops[0], (ast.Is, ast.IsNot)):
+    if isinstance(t, ast.Compare) and len(t.ops) == 1 and type(t.ops[0]) in (ast.Is, ast.IsNot):
         a, b = t.left, t.comparators[0]
         return bare(a) == var and is_none(b) or bare(b) == var and is_none(a)
     return bare(t.operand if isinstance(t, ast.UnaryOp) and isinstance(t.op, ast.Not) else t) == var
@@ -328,7 +337,7 @@ class Facts:
             step()
         return self.rows
 
-    # ------------------------------------------------------------ relations
+    # -- relations
 
     def enclosing(self, node: ast.AST) -> ast.AST | None:
         at = self.up.get(id(node))
@@ -462,7 +471,7 @@ class Facts:
         if said is not None:
             self.add("trivial", f.lineno, f.name, said)
 
-    def handling(self, call: ast.Call) -> tuple[str, list[str]]:
+    def handling(self, call: ast.Call) -> tuple:
         """How the innermost try whose body has a line like the call's deals with errors."""
         at = self.up.get(id(call))
         while at is not None:
@@ -528,7 +537,7 @@ class Facts:
                         self.add_once("decorator", v)
             if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load):
                 self.add_once("name_load", n.id)
-            if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Load):
+            if read(n):
                 self.add_once("attr_load", n.attr)
             if isinstance(n, ast.Raise) and n.exc is not None:
                 if (v := ref(n.exc) or called(n.exc)) is not None:
@@ -552,7 +561,7 @@ class Facts:
                     if const(e, str):
                         self.add_once("exported", e.value)
 
-    # -------------------------------------------------------------- classes
+    # -- classes
 
     def class_facts(self) -> None:
         for k in self.classes:
@@ -564,7 +573,7 @@ class Facts:
             if any(not dunder(f.name) and not self.unbound(f) for f in methods):
                 self.add_once("class_with_methods", k.name)
             for n in ast.walk(k):
-                if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Store) and bare(n.value) == "self":
+                if own_store(n):
                     self.add_once("project_attr", n.attr)
                 if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name):
                     self.add_once("project_attr", n.target.id)
@@ -603,7 +612,7 @@ class Facts:
         if dunder(f.name) or self.unbound(f) or f.name in HOOKS:
             return
         params = {a.arg for a in f.args.args} - {"self", "cls", "request", "response"}
-        seen = Counter(n.value.id for n in ast.walk(f) if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Load) and isinstance(n.value, ast.Name))
+        seen = Counter(n.value.id for n in ast.walk(f) if read(n) and bare(n.value))
         for p in sorted(params):
             if seen[p] >= 3 and seen[p] > seen["self"]:
                 self.found("feature-envy", f.lineno, f"{k.name}.{f.name}() accesses {seen[p]} attributes of '{p}' but only {seen['self']} of 'self'; it may belong there")
@@ -633,7 +642,7 @@ class Facts:
                     self.add("field", s.lineno, s.target.id, k.name)
             return
         self.coupling(k, methods, bases)
-        inits = {n.attr for f in methods if f.name == "__init__" for n in ast.walk(f) if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Store) and bare(n.value) == "self"}
+        inits = {n.attr for f in methods if f.name == "__init__" for n in ast.walk(f) if own_store(n)}
         data = decorated(k, ("attrs", "define")) or bool({"BaseModel", "NamedTuple", "TypedDict"} & set(bases))
         if not data and len(inits) >= 5 and not any(not dunder(f.name) and not self.unbound(f) for f in methods):
             self.add("data_bag", k.lineno, k.name, items=sorted(inits), more=sorted(set(bases)))
@@ -642,8 +651,8 @@ class Facts:
         bound = [f for f in methods if not self.unbound(f) and not decorated(f, ("property",), False)]
         if len(bound) < 3:
             return
-        writes: dict[str, set[str]] = {}
-        reads: dict[str, set[str]] = {}
+        writes: dict[str, set] = {}
+        reads: dict[str, set] = {}
         for f in bound:
             for n in ast.walk(f):
                 if isinstance(n, ast.Attribute) and bare(n.value) == "self":
@@ -659,7 +668,7 @@ class Facts:
                     by = ", ".join(setters)
                     self.found("temporal-coupling", k.lineno, f"{k.name}.{m}() reads self.{a} only set by {by}() (not __init__); the order of calls matters")
 
-    # ------------------------------------------------------------ constants
+    # -- constants
 
     def reassigned(self, name: str, line: int) -> bool:
         for s in self.tops:
@@ -674,7 +683,7 @@ class Facts:
         fixed = {name: x for name, x in fixed.items() if not self.reassigned(name, x[0])}
         for name, (line, v) in fixed.items():
             if not self.settings:
-                said = repr(v.value) if isinstance(v, ast.Constant) else f"{called(v)}(...)" if called(v) else {ast.Dict: "{...}", ast.List: "[...]", ast.Set: "{...}", ast.Tuple: "(...)"}.get(type(v), "...")
+                said = repr(v.value) if isinstance(v, ast.Constant) else f"{called(v)}(...)" if called(v) else BRACKETS.get(type(v), "...")
                 self.add("constant", line, name, short(said))
             if isinstance(v, ast.Constant):
                 self.add("toggle", line, name, equal_key(v.value), repr(v.value), flag=bool(v.value))
@@ -710,7 +719,7 @@ class Facts:
             if not (isinstance(s, ast.Assign) and isinstance(s.value, ast.Dict) and len(s.value.keys) >= 3):
                 continue
             d = s.value
-            if not (all(isinstance(k, ast.Constant) for k in d.keys) and all(isinstance(v, ast.Name) for v in d.values)) or all(is_upper(v.id) for v in d.values):
+            if not all(map(const, d.keys)) or not all(map(bare, d.values)) or all(is_upper(v.id) for v in d.values):
                 continue
             var = bare(s.targets[0])
             self.found("constant-dispatch-dicts", s.lineno, f"{var or '?'} is a {len(d.keys)}-entry dispatch dict ({', '.join(v.id for v in d.values[:3])}...); registration beside the functions can't drift")
@@ -735,7 +744,7 @@ class Facts:
             if isinstance(s, ast.Assign):
                 v = s.value
                 c = v.func if isinstance(v, ast.Call) else None
-                mutable = isinstance(v, (ast.List, ast.Dict, ast.Set)) or bare(c) in ("set", "dict", "list", "defaultdict", "OrderedDict") or isinstance(c, ast.Attribute) and c.attr in ("defaultdict", "OrderedDict")
+                mutable = isinstance(v, (ast.List, ast.Dict, ast.Set)) or bare(c) in CONTAINERS or isinstance(c, ast.Attribute) and c.attr in ("defaultdict", "OrderedDict")
                 for t in s.targets:
                     if isinstance(t, ast.Name):
                         self.add_once("top_name", t.id)
@@ -801,13 +810,13 @@ class Facts:
                 self.add("import_link", n.lineno, n.module, n=n.level, flag=True)
                 for a in n.names:
                     self.add("import", n.lineno, f"{m}.{a.name}")
-            elif isinstance(n, ast.Try) and self.name != "manage.py" and isinstance(first := n.body[0], (ast.Import, ast.ImportFrom)):
+            elif isinstance(n, ast.Try) and self.name != "manage.py" and type(first := n.body[0]) in (ast.Import, ast.ImportFrom):
                 mod = first.names[0].name if isinstance(first, ast.Import) else first.module or ""
                 for h in n.handlers:
                     if bare(h.type) in ("ImportError", "ModuleNotFoundError"):
                         self.found("compat-shims", n.lineno, f"compatibility shim for '{mod}'; do the supported versions need it?", "high")
 
-    # ----------------------------------------------------------- duplicates
+    # -- duplicates
 
     def duplicates(self) -> None:
         for f in self.defs:
@@ -848,7 +857,7 @@ class Facts:
         if self.test:
             return
         for n in self.walk:
-            if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Load) and isinstance(n.value, ast.Name):
+            if read(n) and bare(n.value):
                 v, a = n.value.id, n.attr
                 if v not in ("self", "cls") and a[0] != "_" and a not in PLAIN_ATTRS and v not in PLAIN_MODULES and not a[0].isupper():
                     self.add_once("access", f"{v}.{a}", line=n.lineno, x=v, y=a)
@@ -887,7 +896,7 @@ class Facts:
             return not (isinstance(g, ast.Call) and isinstance(g.func, ast.Attribute) and g.func.attr in LOGGING)
         return isinstance(p, (ast.AnnAssign, ast.Compare))
 
-    # ------------------------------------------------- decided by one file
+    # -- decided by one file
 
     def control(self) -> None:
         errors = {k.name for k in self.classes if any((b := ref(x)) is not None and (b.endswith(("Error", "Exception")) or b == "BaseException") for x in k.bases)}
@@ -929,7 +938,7 @@ class Facts:
 
     @staticmethod
     def compared(t: ast.expr) -> str | None:
-        if not (isinstance(t, ast.Compare) and len(t.ops) == 1 and isinstance(t.ops[0], (ast.Eq, ast.Is))):
+        if not (isinstance(t, ast.Compare) and len(t.ops) == 1 and type(t.ops[0]) in (ast.Eq, ast.Is)):
             return None
         parts, at = [], t.left
         while isinstance(at, ast.Attribute):
@@ -965,7 +974,7 @@ class Facts:
             return
         deepest: dict[int, tuple[int, str]] = {}
         for n in self.walk if not self.migration else []:
-            if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Load) and (got := self.chain(n)):
+            if read(n) and (got := self.chain(n)):
                 if n.lineno not in deepest or got[0] > deepest[n.lineno][0]:
                     deepest[n.lineno] = got
         for line, (d, said) in sorted(deepest.items()):

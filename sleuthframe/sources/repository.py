@@ -43,7 +43,7 @@ def top(root: Path) -> Path:
 
 def listing(root: Path) -> list[Path]:
     """Python files in order: those git knows of or would add; all but tool folders where there is no git."""
-    said = _git(root, "ls-files", "-z", "--cached", "--others", "--exclude-standard", "*.py")
+    said = _git(root, *"ls-files -z --cached --exclude-standard --others *.py".split())
     if said is not None:
         found = [root / x for x in said.split("\0") if x]
         return sorted(p for p in set(found) if p.is_file())
@@ -68,7 +68,7 @@ def files(spark: SparkSession, roots: list[Path], exclude: list[str] | None = No
     """FILES under the roots, with paths relative to the one root or to what all have in common; of equal paths the last root's counts."""
     import os
 
-    base = roots[0] if len(roots) == 1 else Path(os.path.commonpath([str(r.resolve()) for r in roots]))
+    base = roots[0] if not roots[1:] else Path(os.path.commonpath([str(r.resolve()) for r in roots]))
     found: dict[str, Path] = {}
     for r in roots:
         r = r.resolve()
@@ -133,8 +133,8 @@ def parse_diff(text: str) -> list[tuple[str, int]]:
     for line in text.split("\n"):
         if line.startswith("+++ "):
             path = line[6:] if line.startswith("+++ b/") else None
-        elif path and (m := re.match(r"@@ -\S+ \+(\d+)(?:,(\d+))? @@", line)):
-            start, n = int(m[1]), int(m[2] or 1)
+        elif path and (m := re.match(r"@@ -\S+ \+([0-9]+),?([0-9]*) @@", line)):
+            start, n = int(m[1]), int(m[2] or "1")
             out += [(path, i) for i in range(start, start + n)]
     return out
 
@@ -152,8 +152,8 @@ def log(spark: SparkSession, root: Path, days: int) -> dict[str, DataFrame]:
     """commits, commit_files, numstat and reviews of the last days, merges left out; numbers of lines are read only where there are commits."""
     at = top(root)
     since = f"--since={days} days ago"
-    commits, touched = parse_log(_git(at, "log", f"--format=%H{_SEP}%aI{_SEP}%an{_SEP}%s", "--name-only", "--no-merges", since, "--", "*.py") or "")
-    stats = parse_numstat(_git(at, "log", "--format=%H", "--numstat", "--no-merges", since, "--", "*.py") or "") if commits else []
+    commits, touched = parse_log(_git(at, "log", f"--format=%H{_SEP}%aI{_SEP}%an{_SEP}%s", *"--no-merges --name-only".split(), since, "--", "*.py") or "")
+    stats = parse_numstat(_git(at, *"log --numstat --no-merges --format=%H".split(), since, "--", "*.py") or "") if commits else []
     marks = parse_reviews(_git(at, "log", "-z", f"--grep={REVIEW}", since, f"--format=%aI{_SEP}%B") or "") if commits else []
     return {
         "commits": spark.createDataFrame(commits, COMMITS),
