@@ -125,7 +125,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         except repo.NotARepository as problem:
             return _fail(str(problem))
         imports = base("import_link", "path", F.col("name").alias("module"), F.col("n").alias("level"), F.col("flag").alias("from_import"))
-        log["reviews"] = log["reviews"].limit(0) if a.ignore_reviewed else log["reviews"]
+        log["marks"] = log["reviews"]
+        if a.ignore_reviewed:
+            log["reviews"] = log["reviews"].limit(0)
         found = history.run(history.History(base.files, **log, imports=imports, window=a.window, messages=a.commit_messages, expected=a.expected), only)
     found = ranking.at_least(found, a.min_severity)
     if getattr(a, "diff", None) and (lines := repo.changed(spark, roots[0], a.diff)) is not None:

@@ -363,7 +363,6 @@ def alternatives(c: Code) -> DataFrame:
     first = hits.groupBy("pattern", "path", "file_ord").agg(F.min_by("line", "ord").alias("line"))
     needed = F.broadcast(catalog.filter("also is not null").select("pattern", F.col("also").alias("prefix")))
     met = seen.select(F.explode("prefixes").alias("prefix")).join(needed, "prefix").select("pattern").distinct()
-    arg = c("call", "path", "name").join(c["call"].filter("flag").select("path").distinct(), "path", "left_semi")
     arg = c["call"].filter("flag and name in ('add_subparsers', 'add_mutually_exclusive_group', 'add_argument')").groupBy("path").agg(F.count_if(F.col("name") == "add_argument").alias("n"), F.count_if(F.col("name") != "add_argument").alias("m")).filter("n >= 5 or m > 0")
     busy = first.join(arg, "path", "left_semi").select("pattern").distinct()
     got = first.groupBy("pattern").agg(F.count("*").alias("files"), F.slice(F.array_sort(F.collect_list(F.struct("file_ord", "path", "line"))), 1, 3).alias("shown"))

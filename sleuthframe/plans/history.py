@@ -36,6 +36,7 @@ class History:
     numstat: DataFrame | None = None
     reviews: DataFrame | None = None
     imports: DataFrame | None = None
+    marks: DataFrame | None = None  # reviews that count as modifications even where reviews are ignored
     window: str = "6m"
     messages: str = "auto"
     expected: list[list[str]] = field(default_factory=list)
@@ -301,7 +302,8 @@ def hotspot_acceleration(h: History) -> DataFrame:
 @check("abandoned-code", "low")
 def abandoned_code(h: History) -> DataFrame:
     # A review counts as a modification here.
-    active = h.commit_files.select("path").unionByName(h.reviewed.select("path")).distinct()
+    marks = h.marks.select("path") if h.marks is not None else h.reviewed.select("path")
+    active = h.commit_files.select("path").unionByName(marks).distinct()
     members = h.analysed.withColumn("dir", P.parent(F.col("path")))
     got = core.inactive_peers(members, "dir", "path", active, 3, 2 / 3).join(h.analysed, "path")
     got = got.filter(F.col("active") * 3 >= F.col("peers") * 2)
