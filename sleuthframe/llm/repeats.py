@@ -133,7 +133,7 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
 
 
-# ---------------------------------------------------------------- suffix runs
+# -- suffix runs
 
 #: Word numbers of a suffix: the anchor's hash counts as two, then one for each word after it.
 HEAD = 2
@@ -421,7 +421,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return both.mapInArrow(run, docs.schema)
 
 
-# ------------------------------------------------------------ seed and extend
+# -- seed and extend
 
 
 def _seed_matches(texts: DataFrame) -> DataFrame:
