@@ -1,15 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Of every test item the rarer half of its word n-grams, by the number of
-documents that hold them in the whole corpus, are seeds. A stretch of a
-document with enough seeds of an item is aligned with it word by word; the
-alignment's score over that of a perfect copy tells copies, edited and
-paraphrased ones too, from chance.
+"""Benchmark decontamination: rare word seeds, then Smith-Waterman alignment.
+
+An alignment that reaches SCORE matches at least that share of the item's
+words, so of any set of places that leaves out fewer it matches some: the
+rarest such places of each item, by a sample of the corpus, are its seeds. Where
+enough of them lie close together, the score that the item's words could reach
+in any order bounds that of an alignment; only where this bound suffices are the
+item and the stretch aligned word by word. Neither step can lose a match, so
+the result is that of aligning every item with every document; how rare a word
+is decides the time alone. The alignment's score over that of a perfect copy
+tells copies, edited and paraphrased ones too, from chance.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import U64, Hashed, table
 
+#: Items of up to 2 * GRAM words, of which a few match by chance, need a run of GRAM words in common; it alone reaches SCORE.
 GRAM = 3
-#: Seeds that a stretch needs; items with few n-grams need one.
-SEEDS = 2
+#: One document in RARITY counts to tell how rare a word is.
+RARITY = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of a perfect copy's score.
 SCORE = 0.5
@@ -34,51 +39,46 @@ PASS_WORDS = 2_000_000
 class Items:
     ids: list[int]
     words: list[np.ndarray]  # a hash for each word
-    grams: np.ndarray  # all items' n-gram hashes, sorted
-    where: list[list[tuple[int, int]]]  # of each n-gram, (item, place)
-    seeds: np.ndarray | None = None  # of each n-gram, whether it is a seed of some item
-    rare: list[set[int]] | None = None  # of each item, its seeds' n-gram numbers
+    vocabulary: np.ndarray  # all items' words, sorted
+    numbers: list[np.ndarray]  # of each item, its words' numbers
+    sizes: np.ndarray
+    need: np.ndarray  # seeds that a match holds at least
+    first: np.ndarray | None = None  # of each word, where in seeds the items begin that it is a seed of; the end last
+    seeds: np.ndarray | None = None
 
 
 def index(rows: list[tuple[int, str]]) -> Items:
-    ids, words, found = [], [], defaultdict(list)
+    ids, words = [], []
     for i, text in rows:
         h = Hashed(text)
-        if h.n < GRAM:
-            continue
-        for p, g in enumerate(h.runs(GRAM).tolist()):
-            found[g].append((len(ids), p))
-        ids.append(i)
-        words.append(h.runs(1))
-    grams = np.array(sorted(found), U64)
-    return Items(ids, words, grams, [found[g] for g in grams.tolist()])
-
-
-def hits(items: Items, h: Hashed) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a document where an item's n-gram begins, and the n-gram's number."""
-    if h.n < GRAM or not len(items.grams):
-        z = np.zeros(0, np.int64)
-        return z, z
-    g = h.runs(GRAM)
-    at = np.searchsorted(items.grams, g)
-    at[at == len(items.grams)] = 0
-    places = np.flatnonzero(items.grams[at] == g)
-    return places, at[places]
+        if h.n >= GRAM:
+            ids.append(i)
+            words.append(h.runs(1))
+    vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, U64)
+    sizes = np.array([len(w) for w in words], np.int64)
+    return Items(ids, words, vocabulary, [np.searchsorted(vocabulary, w) for w in words], sizes, 1 + sizes // 6)
+
+
+def numbered(items: Items, words: np.ndarray) -> np.ndarray:
+    """The number of each word of a document, -1 if no item has it."""
+    if not len(words) or not len(items.vocabulary):
+        return np.full(len(words), -1)
+    at = np.searchsorted(items.vocabulary, words)
+    at[at == len(items.vocabulary)] = 0
+    return np.where(items.vocabulary[at] == words, at, -1)
 
 
 def choose(items: Items, docs_with: np.ndarray) -> None:
-    """The rarer half of each item's n-grams, ties included."""
-    of: list[list[int]] = [[] for _ in items.ids]
-    for g, where in enumerate(items.where):
-        for i in {i for i, _ in where}:
-            of[i].append(g)
-    items.rare = []
-    items.seeds = np.zeros(len(items.grams), bool)
-    for gs in of:
-        n = docs_with[gs]
-        keep = {g for g, x in zip(gs, n) if x <= np.sort(n)[(len(n) - 1) // 2]}
-        items.rare.append(keep)
-        items.seeds[list(keep)] = True
+    """The rarest places of each item, so many that a match holds `need` of them."""
+    pairs = [np.zeros((0, 2), np.int64)]
+    for i, w in enumerate(items.numbers):
+        keep = len(w) - math.ceil(SCORE * len(w)) + int(items.need[i])
+        own = np.unique(w[np.lexsort((w, docs_with[w]))[:keep]])
+        pairs.append(np.stack([own, np.full(len(own), i)], 1))
+    both = np.concatenate(pairs)
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    items.first = np.searchsorted(both[:, 0], np.arange(len(items.vocabulary) + 1))
+    items.seeds = both[:, 1]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -104,33 +104,74 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, end, end - back
 
 
+def near(items: Items, at: np.ndarray) -> dict[int, list[list[int]]]:
+    """Of each item with enough seeds close together, the stretches of a document's word numbers that hold all its matches."""
+    places = np.flatnonzero(at >= 0)
+    lo = items.first[at[places]]
+    many = items.first[at[places] + 1] - lo
+    total = int(many.sum())
+    out: dict[int, list[list[int]]] = {}
+    if not total:
+        return out
+    item = items.seeds[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(total)]
+    place = np.repeat(places, many)
+    order = np.argsort(item, kind="stable")
+    item, place = item[order], place[order]
+    # A match has as many words of the document as twice the item's at most: each word that doesn't match costs a point.
+    wide = 2 * items.sizes[item]
+    last = np.arange(total) + items.need[item] - 1
+    ok = np.flatnonzero(last < total)
+    ok = ok[(item[last[ok]] == item[ok]) & (place[last[ok]] - place[ok] < wide[ok])]
+    for i, a, b in zip(item[ok].tolist(), np.maximum(0, place[last[ok]] - wide[ok]).tolist(), np.minimum(len(at), place[ok] + wide[ok]).tolist()):
+        own = out.setdefault(i, [])
+        if own and a <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], b)
+        else:
+            own.append([a, b])
+    return out
+
+
+def stretches(item: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+    """Where in a run of word numbers an alignment with the item may reach SCORE."""
+    n = len(item)
+    if n <= 2 * GRAM:
+        k = min(n, GRAM)
+        if len(at) < k:
+            return []
+        runs = {tuple(item[j : j + k].tolist()) for j in range(n - k + 1)}
+        return [(max(0, p - 2 * n), p + 2 * n) for p, x in enumerate(zip(*(at[j:].tolist() for j in range(k)))) if x in runs]
+    has = np.zeros(max(int(item.max()), int(at.max())) + 2, bool)  # the last is that of -1
+    has[item] = True
+    same = has[at]
+    if np.count_nonzero(same) < SCORE * n:
+        return []
+    score = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(np.where(same, MATCH, max(MISMATCH, GAP)), out=score[1:])
+    reach = score - np.minimum.accumulate(score)
+    if reach.max() < SCORE * MATCH * n:
+        return []
+    good = np.flatnonzero(reach >= SCORE * MATCH * n)
+    # An alignment's words so far always score above 0, so it lies between two places where nothing is reached.
+    zero = np.flatnonzero(reach == 0)
+    begin = zero[np.searchsorted(zero, good) - 1]
+    new = np.flatnonzero(np.r_[True, begin[1:] != begin[:-1]])
+    return list(zip(begin[new].tolist(), good[np.r_[new[1:], len(good)] - 1].tolist()))
+
+
 def search(items: Items, text: str | None) -> list[tuple[int, float, int, int]]:
     """(item id, score, start word, end word) of each item found in a text, its best place."""
-    h = Hashed(text)
-    places, numbers = hits(items, h)
-    some = items.seeds[numbers] if len(numbers) else np.zeros(0, bool)
-    by: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p, g in zip(places[some].tolist(), numbers[some].tolist()):
-        for i in {i for i, _ in items.where[g]}:
-            if g in items.rare[i]:
-                by[i].append((p, g))
+    words = Hashed(text).runs(1)
+    at = numbered(items, words)
     out = []
-    words = None
-    for i, found in by.items():
+    for i, found in near(items, at).items():
         n = len(items.words[i])
-        stretch: list[tuple[int, int]] = []
         best: tuple[float, int, int] | None = None
-        for p, g in [*found, (1 << 60, -1)]:
-            if stretch and p - stretch[-1][0] > n:
-                if len({x for _, x in stretch}) >= (SEEDS if len(items.rare[i]) >= 2 * SEEDS else 1):
-                    words = h.runs(1) if words is None else words
-                    a, b = max(0, stretch[0][0] - n - n // 2), min(h.n, stretch[-1][0] + GRAM + n + n // 2)
-                    score, end, start = align(items.words[i], words[a:b])
-                    share = score / (MATCH * n)
-                    if share >= SCORE and (best is None or share > best[0]):
-                        best = (share, a + start, a + end)
-                stretch = []
-            stretch.append((p, g))
+        for low, high in found:
+            for a, b in stretches(items.numbers[i], at[low:high]):
+                score, end, start = align(items.words[i], words[low + a : low + b])
+                share = score / (MATCH * n)
+                if share >= SCORE and (best is None or share > best[0]):
+                    best = (share, low + a + start, low + a + end)
         if best:
             out.append((items.ids[i], *best))
     return sorted(out)
@@ -147,16 +188,17 @@ def load(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(shared.value.grams), np.int64)
+            n = np.zeros(len(shared.value.vocabulary) + 1, np.int64)
             for b in batches:
                 for x in b["text"].to_pylist():
-                    n[np.unique(hits(shared.value, Hashed(x))[1])] += 1
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["gram", "n"])
-
-        counts = docs.select(F.col("text").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-        docs_with = np.zeros(len(items.grams), np.int64)
-        docs_with[counts["gram"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+                    n[np.unique(numbered(shared.value, Hashed(x).runs(1)))] += 1
+            at = np.flatnonzero(n[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["word", "n"])
+
+        some = docs.select(F.col("text").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(RARITY)) == 0)
+        counts = some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+        docs_with = np.zeros(len(items.vocabulary), np.int64)
+        docs_with[counts["word"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
         choose(items, docs_with)
         yield items
 

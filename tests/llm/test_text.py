@@ -120,6 +120,34 @@ def test_leaks(spark):
     assert contamination.leaks(df.limit(0), bench).count() == 0 and contamination.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_edited_leaks_against_aligning_everything():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(400)]
+    prose = lambda n: rng.choices(words, k=n)
+    made = [prose(n) for n in (16, 25, 40, 64) for _ in range(3)]
+    items = contamination.index([(k, " ".join(w)) for k, w in enumerate(made)])
+    want, docs = set(), []
+    for k, w in enumerate(made):
+        for step in (3, 4, 5, 6):
+            for first in range(step):
+                want.add((len(docs), k))
+                docs.append(prose(30) + ["new" if i % step == first else x for i, x in enumerate(w)] + prose(30))
+        docs.append(prose(30) + [x for y in w[: len(w) * 3 // 4] for x in (y, "new")] + prose(30))
+        docs.append(prose(30) + w[::2] + prose(300) + w[1::2])
+    docs += [prose(n) for n in (0, 1, 60, 900)]
+    # Counts, and none at all, may decide the time alone; an item's own grams may be in no document.
+    for seen in (docs, []):
+        n = np.zeros(len(items.vocabulary), np.int64)
+        for d in seen:
+            n[np.unique(contamination.numbered(items, contamination.Hashed(" ".join(d)).runs(1)))[1:]] += 1
+        contamination.choose(items, n)
+        got = {(d, k, s) for d, w in enumerate(docs) for k, s, _, _ in contamination.search(items, " ".join(w))}
+        full = {(d, k): contamination.align(items.words[k], contamination.Hashed(" ".join(w)).runs(1))[0] / (2 * len(made[k])) for d, w in enumerate(docs) for k in range(len(made))}
+        assert got == {(*x, s) for x, s in full.items() if s >= contamination.SCORE}
+        lost = want - {(d, k) for d, k, _ in got}
+        assert all(full[x] < contamination.SCORE for x in lost) and len(lost) <= len(want) // 20
+
+
 def test_urls_against_all_rules(spark):
     rng = random.Random(4)
     pages = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("url").collect()]
