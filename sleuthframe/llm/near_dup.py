@@ -11,8 +11,8 @@ the exact shingle sets.
 The result is a forest, not all pairs, so a group of a million copies gives a
 million rows: each document points to a larger document that contains it. To
 keep the work linear too, a bucket isn't expanded into its pairs: its members
-are ordered by size, and each is compared with the next one and with the
-largest. A container is missed only if in every bucket it shares with the query
+are ordered by size, and each is compared with the next one that the pair's
+banding allows and with the largest. A container that shares a bucket is missed only if in every bucket it shares with the query
 there is one document between them and another one above; a passage that
 thousands of documents share fills its own buckets only. Of these candidates
 the one found in most buckets is checked first, the others only if it fails.
@@ -41,6 +41,7 @@ HASHES = 48
 ROWS = (2, 1)
 #: One shingle in SAMPLE, by hash, counts to tell how many of a document's shingles occur elsewhere.
 SAMPLE = 16
+FAR = 3
 #: Without a sampled shingle that occurs elsewhere, documents with fewer shingles than this are queries all the same.
 TINY = 96
 SIZES = 25
@@ -142,13 +143,28 @@ def _ids(df: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def _allowed() -> F.Column:
-    """Whether a band counts for the sizes of query and member."""
-    plan = F.array(*(F.array(*(F.lit(r << 8 | b) for r, b in row)) for row in PLAN))
-    p = lambda c: F.least(F.floor(F.log2(c)), F.lit(SIZES - 1)).cast("int")
-    pick = plan[p(F.col("n"))][p(F.col("xn"))]
+def _above() -> F.Column:
+    """By how many partitions a member has to be above a query for this bucket's band, or sampled shingle, to count."""
     kind = F.col("kind").cast("int")
-    return (F.shiftright(pick, 8) == F.shiftright(kind, 8)) & (kind.bitwiseAND(255) < pick.bitwiseAND(255))
+    d = F.when(kind < 0, FAR)
+    for i, (r, b) in enumerate(PLAN[0][: FAR + 3]):
+        d = d.when((F.shiftright(kind, 8) == r) & (kind.bitwiseAND(255) < b), i)
+    return d.otherwise(SIZES)
+
+
+def _members(shared: DataFrame) -> DataFrame:
+    """The buckets' rows, with the next and the largest of the members that band and sizes allow."""
+    part = lambda n: F.floor(F.log2(n)).cast("int")
+    w = W.partitionBy("key").orderBy("part")
+    least = F.min(F.struct(F.col("n").alias("xn"), (-F.col("uid")).alias("o"), F.col("uid").alias("xuid")))
+    rows = shared.withColumn("part", part("n")).withColumn("above", _above())
+    first = None
+    for d in range(1, FAR + 3):
+        x = least.over(w.rangeBetween(d, SIZES))
+        first = F.when(F.col("above") == d, x) if first is None else first.when(F.col("above") == d, x)
+    first = F.struct(first["xn"].alias("xn"), first["xuid"].alias("xuid"))
+    rows = rows.withColumn("next", F.when(F.col("above") == 0, F.col("next")).otherwise(first))
+    return rows.withColumn("top", F.when(part("top.xn") >= F.col("part") + F.col("above"), F.col("top")))
 
 
 def _sets(rows: DataFrame, uids: DataFrame) -> DataFrame:
@@ -222,8 +238,8 @@ def containers(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
     tiny = shared.filter((F.col("kind") > 0) & (F.col("n") < TINY)).select("uid")
     queries = likely.unionByName(tiny).distinct()
 
-    near = keep_ids(shared.filter("kind > 0"), "uid", s.table(queries)).select("uid", "n", "kind", F.explode(F.array_distinct(F.array("top", "next"))).alias("x")).select("uid", "n", "kind", "x.*")
-    found = near.filter((F.col("xuid") != F.col("uid")) & _allowed()).groupBy("uid", "xuid", "xn").agg(F.count("*").alias("c"))
+    near = keep_ids(_members(shared.filter("kind > 0")), "uid", s.table(queries)).select("uid", "n", "kind", F.explode(F.array_distinct(F.array("top", "next"))).alias("x")).select("uid", "n", "kind", "x.*")
+    found = near.filter(F.col("xuid") != F.col("uid")).groupBy("uid", "xuid", "xn").agg(F.count("*").alias("c"))
     best = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), F.desc("xn"), "xuid"))
     pairs = s.table(found.withColumn("place", best).select("uid", "xuid", "place"))
     sets = s.table(_sets(rows, pairs.select(F.explode(F.array("uid", "xuid")).alias("uid")).distinct()))

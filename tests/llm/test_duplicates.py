@@ -89,6 +89,15 @@ def test_banding_finds_pairs_at_its_threshold():
     assert near_dup.jaccard(0.6, 100, 100) == pytest.approx(0.6 / 1.4)
 
 
+def test_a_neighbour_of_the_same_size_hides_no_container(spark):
+    at = lambda key, uid, n, kind: (key, uid, n, kind, (900, 9), (n, -1))
+    band = near_dup.PLAN[0][0][1]  # the first that counts only from the next partition on
+    rows = [at(1, 1, 100, 1 << 8 | band), at(1, 2, 100, 1 << 8 | band), at(1, 3, 200, 1 << 8 | band), at(1, 4, 300, 1 << 8 | band), at(1, 9, 900, 1 << 8 | band)]
+    df = spark.createDataFrame(rows, "key long, uid long, n int, kind int, top struct<xn int, xuid long>, next struct<xn int, xuid long>")
+    got = {r.uid: r.next.xuid for r in near_dup._members(df).collect() if r.next}
+    assert (got[1], got[2], got[3]) == (3, 3, 4 if near_dup.part(300) > near_dup.part(200) else 9)
+
+
 def covered(texts):
     """Of each document, the words in windows that occur before it, by id and place."""
     n = repeats.LENGTH
