@@ -12,7 +12,9 @@ The result is a forest, not all pairs, so a group of a million copies gives a
 million rows: each document points to a larger document that contains it. To
 keep the work linear too, a bucket isn't expanded into its pairs: its members
 are ordered by size, and each is compared with the next one that the pair's
-banding allows and with the largest. A container that shares a bucket is missed only if in every bucket it shares with the query
+banding allows and with the largest. Pairs too far apart in size for the
+banding to reach RECALL meet in the buckets of sampled shingles as well. A
+container that shares a bucket is missed only if in every bucket it shares with the query
 there is one document between them and another one above; a passage that
 thousands of documents share fills its own buckets only. Of these candidates
 the one found in most buckets is checked first, the others only if it fails.
@@ -40,7 +42,8 @@ RECALL = 0.95
 HASHES = 48
 ROWS = (2, 1)
 #: One shingle in SAMPLE, by hash, counts to tell how many of a document's shingles occur elsewhere.
-SAMPLE = 16
+SAMPLE = 8
+#: From so many partitions above a query on, where HASHES are too few for RECALL, sampled shingles find members too.
 FAR = 3
 #: Without a sampled shingle that occurs elsewhere, documents with fewer shingles than this are queries all the same.
 TINY = 96
@@ -238,7 +241,7 @@ def containers(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
     tiny = shared.filter((F.col("kind") > 0) & (F.col("n") < TINY)).select("uid")
     queries = likely.unionByName(tiny).distinct()
 
-    near = keep_ids(_members(shared.filter("kind > 0")), "uid", s.table(queries)).select("uid", "n", "kind", F.explode(F.array_distinct(F.array("top", "next"))).alias("x")).select("uid", "n", "kind", "x.*")
+    near = keep_ids(_members(shared), "uid", s.table(queries)).select("uid", "n", "kind", F.explode(F.array_distinct(F.array("top", "next"))).alias("x")).select("uid", "n", "kind", "x.*")
     found = near.filter(F.col("xuid") != F.col("uid")).groupBy("uid", "xuid", "xn").agg(F.count("*").alias("c"))
     best = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), F.desc("xn"), "xuid"))
     pairs = s.table(found.withColumn("place", best).select("uid", "xuid", "place"))

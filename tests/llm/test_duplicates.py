@@ -89,6 +89,18 @@ def test_banding_finds_pairs_at_its_threshold():
     assert near_dup.jaccard(0.6, 100, 100) == pytest.approx(0.6 / 1.4)
 
 
+@pytest.mark.parametrize("ratio", [16, 32, 64, 128])
+def test_containers_many_times_as_large(spark, ratio):
+    rng = random.Random(ratio)
+    parts = [prose(rng, 130) for _ in range(40)]
+    rows = [(i, edited(rng, t, 0.04)) for i, t in enumerate(parts)]
+    rows += [(100 + k, f"{' '.join(parts[k::4])} {prose(rng, 130 * ratio - 1300)}") for k in range(4)]
+    s = sets(rows)
+    want = {i for i in range(40) if len(s[i] & s[100 + i % 4]) >= near_dup.THRESHOLD * len(s[i])}
+    got = {r.doc_id for r in near_dup.groups(frame(spark, rows)).collect()}
+    assert got <= want and len(got) >= near_dup.RECALL * len(want)
+
+
 def test_a_neighbour_of_the_same_size_hides_no_container(spark):
     at = lambda key, uid, n, kind: (key, uid, n, kind, (900, 9), (n, -1))
     band = near_dup.PLAN[0][0][1]  # the first that counts only from the next partition on
