@@ -12,9 +12,9 @@ a loser tree that carries common-prefix lengths. In the merged order two
 suffixes share w words if and only if all prefix lengths between them are at
 least w; with the words left of the anchors that settles every window.
 
-Seed and extend (op 6): occurrences are joined on anchors, and each match with
-the earliest occurrence is extended both ways; overlapping matches on one
-diagonal become one maximal repeat.
+Seed and extend (op 6): occurrences are joined on anchors, each is matched with
+the earliest, overlapping matches on one diagonal are made one, and each of
+these is extended over both texts to the first word that differs.
 
 The earliest occurrence of each window, by doc_id and place, is the original;
 all others are repeats of it. So a passage found in a million documents gives
@@ -466,8 +466,45 @@ def _seed_matches(texts: DataFrame) -> DataFrame:
     return texts.select("uid", "doc_id", "text", "keys").mapInArrow(seed, "part int, key long, uid long, o long, at long, low long, high long, left binary, right binary").groupBy("part").applyInArrow(extend, FOUND)
 
 
+def _extended(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The matches, each as far both ways as the two texts are equal; what becomes one match counts once."""
+    pair = ["uid", "first_uid", "doc_id", "first_id"]
+    lists = found.groupBy(*pair).agg(F.collect_list(F.struct("start", "end", "diagonal")).alias("matches"))
+    both = lists.join(rows.select("uid", "text"), "uid").join(rows.select(F.col("uid").alias("first_uid"), F.col("text").alias("first_text")), "first_uid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, b = None, np.zeros(0, U64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                x = batch.slice(k, 256)
+                out = []
+                for uid, first, doc_id, first_id, matches, text, first_text in zip(*(x[c].to_pylist() for c in (*pair, "matches", "text", "first_text"))):
+                    if first != last:
+                        last, b = first, Hashed(first_text).runs(1)
+                    a = b if uid == first else Hashed(text).runs(1)
+                    out += [(doc_id, first_id, *m) for m in grown(a, b, [(m["start"], m["end"], m["diagonal"]) for m in matches])]
+                cols = list(zip(*out)) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "first_id", "start", "end", "diagonal"])
+
+    return both.mapInArrow(run, "doc_id long, first_id long, start long, end long, diagonal long")
+
+
+def grown(a: np.ndarray, b: np.ndarray, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, diagonal) of matches between two texts' words, extended to the first word that differs."""
+    by: dict[int, list[tuple[int, int]]] = {}
+    for start, end, d in matches:
+        by.setdefault(d, []).append((start, end))
+    out = []
+    for d, spans in by.items():
+        low, high = max(0, d), min(len(a), len(b) + d)
+        other = low + np.flatnonzero(a[low:high] != b[low - d : high - d])
+        edges = np.concatenate([[low - 1], other, [high]])
+        out += [(x, y, d) for x, y in sorted({(int(edges[k - 1]) + 1, int(edges[k])) for k in np.searchsorted(edges, [s for s, _ in spans], side="right").tolist()})]
+    return out
+
+
 def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, start_word, end_word, n_words, other_id, other_start_word): a stretch of LENGTH words or more of a document that is equal to one which begins at other_start_word of other_id, the earliest document with it (or earlier in the same one).
+    """Rows (doc_id, start_word, end_word, n_words, other_id, other_start_word): a stretch of LENGTH words or more of a document that is equal to one which begins at other_start_word of other_id, the earliest document with some LENGTH words of it (or earlier in the same one); the words before and after the two differ.
 
     Null, empty and shorter texts have none. Rows with the same doc_id and text
     are one document; other copies of a text match the first one whole. A null
@@ -477,13 +514,14 @@ def maximal_repeats(docs: DataFrame) -> DataFrame:
     with Scratch(docs.sparkSession) as s:
         rows = _rows(docs)
         copies, lists = _repeated(rows, s)
-        found = _seed_matches(_texts(rows, lists)).withColumn("diagonal", F.col("start") - F.col("first_start"))
+        texts = _texts(rows, lists)
+        found = _seed_matches(texts).withColumn("diagonal", F.col("start") - F.col("first_start"))
         by = ["uid", "first_uid", "diagonal"]
         w = W.partitionBy(*by).orderBy("start")
         reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
         isles = found.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("isle", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
         long = isles.groupBy(*by, "isle").agg(F.first("doc_id").alias("doc_id"), F.first("first_id").alias("first_id"), F.min("start").alias("start"), F.max("end").alias("end"))
-        long = long.filter(F.col("end") - F.col("start") >= LENGTH).select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("first_id").alias("other_id"), (F.col("start") - F.col("diagonal")).alias("other_start_word"))
+        long = _extended(long.filter(F.col("end") - F.col("start") >= LENGTH), texts).select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("first_id").alias("other_id"), (F.col("start") - F.col("diagonal")).alias("other_start_word"))
         zero = F.lit(0).cast("long")
         whole = copies.select("doc_id", zero.alias("start_word"), F.col("n").cast("long").alias("end_word"), F.col("n").cast("long").alias("n_words"), F.when(F.col("first.o") < NULL_LAST, F.col("first.o")).alias("other_id"), zero.alias("other_start_word"))
         return s.result(long.unionByName(whole))

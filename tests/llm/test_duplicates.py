@@ -169,6 +169,21 @@ def test_seed_and_extend_against_brute_force(spark, passages):
     assert got == covered(passages)
 
 
+def test_no_repeat_can_be_extended(spark, passages):
+    rng = random.Random(6)
+    p, q = prose(rng, 200), prose(rng, 200)
+    nested = [(1000, f"{prose(rng, 30)} {p} {prose(rng, 30)}"), (1001, f"{p} {q}"), (1002, f"{prose(rng, 9)} {p} {q} end")]
+    rows = passages + nested
+    words = {i: [w.lower() for w in WORD.findall(t)] for i, t in rows}
+    got = repeats.maximal_repeats(frame(spark, rows)).collect()
+    assert len(set(got)) == len(got)
+    for r in got:
+        a, b, d = words[r.doc_id], words[r.other_id], r.start_word - r.other_start_word
+        assert not r.other_start_word or not r.start_word or a[r.start_word - 1] != b[r.other_start_word - 1]
+        assert r.end_word == len(a) or r.end_word - d == len(b) or a[r.end_word] != b[r.end_word - d]
+    assert {(r.start_word, r.n_words, r.other_id, r.other_start_word) for r in got if r.doc_id == 1002} == {(9, 200, 1000, 30), (9, 400, 1001, 0)}
+
+
 def test_repeat_edges(spark):
     long = prose(random.Random(2), 20_000)
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (4, long), (5, long), (None, long)]
