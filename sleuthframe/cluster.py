@@ -45,7 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables in the shared folder for the length of a ``with`` block; they cut the lineage."""
+    """Tables written to the shared folder for the length of a ``with`` block.
+
+    They cut the lineage: after the loss of an executor they are read, not
+    computed again.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -55,16 +59,20 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame) -> DataFrame:
-        """A checkpoint outlives the block."""
+        """A checkpoint, which outlives the block; with spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes it once no plan refers to it."""
         return df.checkpoint()
 
     def __exit__(self, *exc: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.at)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
