@@ -7,13 +7,15 @@ counts as the empty text everywhere.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import Scratch, shared_dir
+
+__all__ = ["BROADCAST_BYTES", "U64", "WORD", "Hashed", "Scratch", "distinct", "joined_words", "keep_ids", "mix", "opaque", "picked", "place", "row_key", "shared_dir", "sized", "table", "word_spans"]
+
 WORD = re.compile(r"\w+")
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -44,6 +46,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Of each byte of an ASCII text: its lower case where it belongs to a word, else a blank.
+_ASCII = bytes(ord(chr(i).lower()) if i < 128 and (chr(i).isalnum() or chr(i) == "_") else 32 for i in range(256))
+_wordly: np.ndarray | None = None
+
+
+def joined_words(text: str | None) -> bytes:
+    """``" ".join(WORD.findall(text)).lower()`` in UTF-8, without a match object for each word."""
+    global _wordly
+    if not text:
+        return b""
+    if text.isascii():
+        return b" ".join(text.encode().translate(_ASCII).split())
+    if _wordly is None:
+        _wordly = np.array([chr(i).isalnum() for i in range(0x110000)])
+        _wordly[ord("_")] = True
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where(_wordly[points], points, np.uint32(32))
+    return b" ".join(points.tobytes().decode("utf-32-le").lower().encode().split())
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; several times as fast as np.unique on short arrays."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class Hashed:
     """A text's words with constant-time hashes of any run of words.
 
@@ -55,7 +83,7 @@ class Hashed:
     __slots__ = ("n", "starts", "ends", "sums")
 
     def __init__(self, text: str | None):
-        data = " ".join(WORD.findall(text or "")).lower().encode()
+        data = joined_words(text)
         self.n = 0
         if not data:
             return
@@ -91,66 +119,35 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, set here only in local mode where it is unset."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at and sc.getCheckpointDir():
-        at = sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="sleuthframe-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
-class Scratch:
-    """Tables written to the shared folder for the length of a ``with`` block.
-
-    They cut the lineage: after the loss of an executor they are read, not
-    computed again.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.at = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def __enter__(self) -> Scratch:
-        return self
 
-    def table(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.at}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+def place(names: list[str], name: str) -> int:
+    """Where a column is: by its exact name, else by the first one that differs in case alone."""
+    return names.index(name) if name in names else [x.lower() for x in names].index(name)
 
-    def result(self, df: DataFrame) -> DataFrame:
-        """A checkpoint outlives the block; Spark's cleaner removes it once no plan refers to it."""
-        shared_dir(self.spark)
-        return df.checkpoint()
 
-    def __exit__(self, *exc: object) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def opaque(docs: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ..., so that no name of a caller's column can clash with one of ours."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def picked(docs: DataFrame, **kinds: str) -> DataFrame:
+    """Some columns by name and type, wherever they are and whatever else there is; each must be there."""
+    plain = opaque(docs)
+    return plain.select(*(F.col(f"c{place(docs.columns, k)}").cast(kind).alias(k) for k, kind in kinds.items()))
 
 
-#: A side with at most so many rows may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: A side of at most so many bytes (rows times their width) may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if a count shows it is small; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def sized(df: DataFrame, width: int = 16) -> DataFrame:
+    """Marked for broadcast if its rows, of at most `width` bytes each, are few enough; else the join shuffles. df is a written table: counting it reads its footers."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
 def keep_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Left-semi join on key: broadcast behind a count, shuffled beyond it."""
+    """Left-semi join on key with a written table of keys: broadcast behind a check of its size, shuffled beyond it."""
     return df.join(sized(ids), key, "left_semi")

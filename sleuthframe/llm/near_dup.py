@@ -1,25 +1,30 @@
 """Near-duplicate groups by a MinHash containment ensemble.
 
-Documents are partitioned by the size of their shingle set (powers of two). A
-document is a query to its own partition and to all above it: "which document
-at least as large contains THRESHOLD of my shingles?". For a partition with
-sizes below u that containment is the Jaccard threshold t / (1 + u/q - t), and
-each of these has a banding of its own (rows a band, number of bands), tuned to
-find a pair at the threshold with probability RECALL. Candidates are checked on
-the exact shingle sets.
-
-The result is a forest, not all pairs, so a group of a million copies gives a
-million rows: each document points to a larger document that contains it. To
-keep the work linear too, a bucket isn't expanded into its pairs: its members
-are ordered by size, and each is compared with the next one that the pair's
-banding allows and with the largest. Pairs too far apart in size for the
-banding to reach RECALL meet in the buckets of sampled shingles as well. A
-container that shares a bucket is missed only if in every bucket it shares with the query
-there is one document between them and another one above; a passage that
-thousands of documents share fills its own buckets only. Of these candidates
-the one found in most buckets is checked first, the others only if it fails.
-Documents too few of whose shingles occur in any other document for a container
-to exist are no queries.
+A document is redundant if one at least as large contains THRESHOLD of its
+shingles. Documents with equal shingle sets are one class; the search is among
+classes, partitioned by the size of their sets (powers of two).
+
+Each partition has a plan of its own (PLAN): a query is looked up by the `bands`
+least hashes of its set, and a set at least as large that reaches THRESHOLD
+holds `hits` of them with probability RECALL or more. A query therefore leaves
+out its hits - 1 fullest buckets, and one whose shingles aren't found elsewhere
+often enough is none at all: a passage that thousands of documents share fills
+its own buckets only. Up to ALL shingles, all are bands, and nothing is missed.
+
+Why least hashes and not rows of independent ones: containment THRESHOLD of a
+query of q shingles in a set of u is the Jaccard similarity s = t / (1 + u/q -
+t), and a banding of r rows needs log(1 - RECALL) / log(1 - s**r) bands. That
+is 320 single rows at u = 64 q, and any r above 1 is out of reach from u = 4 q
+on. So the index keeps, instead of one value a slot, every shingle of a set
+that some query may have as a band; then a band is found with probability t
+whatever the sizes, the Jaccard threshold of each pair of partitions is met by
+one plan for each partition of queries, and far partitions cost as much as near ones.
+
+All members of a bucket are compared. Small queries (up to ALL shingles) are
+compared with patterns, the distinct parts that larger sets have of the small
+queries' vocabulary: hundreds of thousands of documents with one boilerplate
+sentence are one pattern. Others are compared set by set, in cells that large
+groups are split into; copies are compared once, as their class.
 """
 
 from __future__ import annotations
@@ -29,264 +34,333 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Hashed, Scratch, keep_ids, mix, row_key, sized, table
+from .common import U64, Hashed, Scratch, distinct, mix, opaque, picked, place, row_key, sized, table
 
 SHINGLE = 5
 THRESHOLD = 0.6
-RECALL = 0.95
-#: Hash functions; the rows a band that a banding may have.
-HASHES = 48
-ROWS = (2, 1)
-#: One shingle in SAMPLE, by hash, counts to tell how many of a document's shingles occur elsewhere.
-SAMPLE = 8
-#: From so many partitions above a query on, where HASHES are too few for RECALL, sampled shingles find members too.
-FAR = 3
-#: Without a sampled shingle that occurs elsewhere, documents with fewer shingles than this are queries all the same.
-TINY = 96
-SIZES = 25
-#: Parts that share the checks against one member.
-SALT = 16
-#: Ids in [0, ID_RANGE) are the upper bits of a document's key, so that keys sort as ids do.
-ID_BITS = 24
-ID_RANGE = 1 << 38
+RECALL = 0.97
+#: Least hashes that a query is looked up by; all of its shingles, if they are no more than ALL.
+BANDS = 32
+ALL = 64
+#: Bits of the filter of bands, for each band and at most; beyond the latter it only lets more shingles through to the index.
+FILTER_BITS = 16
+FILTER_MOST = 30
+#: Pairs compared in one cell, and shingles held in it; cells of more are split into a grid.
+CELL = 50_000
+CELL_WORDS = 2_000_000
+SIZES = 32
 
 
 def jaccard(t: float, q: float, u: float) -> float:
-    """The Jaccard threshold for a query of q shingles and a set of up to u."""
+    """The Jaccard threshold for a query of q shingles and a set of u."""
     return t / (1 + max(u, q) / q - t)
 
 
-def banding(s: float) -> tuple[int, int]:
-    """(rows a band, bands) for a Jaccard threshold: the most selective that reaches RECALL within HASHES, else single rows of all hashes."""
-    for r in ROWS:
-        b = math.ceil(math.log(1 - RECALL) / math.log1p(-min(s**r, 1 - 1e-9)))
-        if b * r <= HASHES:
-            return r, b
-    return 1, HASHES
+def chance(n: int, good: int, drawn: int, hits: int) -> float:
+    """Of n shingles, `good` are in the other set: the probability that of `drawn` ones at least `hits` are."""
+    total = math.comb(n, drawn)
+    return sum(math.comb(good, k) * math.comb(n - good, drawn - k) for k in range(hits, min(good, drawn) + 1)) / total
 
 
-def part(n: int) -> int:
-    return max(0, int(n).bit_length() - 1)
+def plan(p: int) -> tuple[int, int]:
+    """(bands, hits) of the partition of sizes from 2**p to 2**(p+1) - 1: as many hits as keep RECALL for its least and its largest sets."""
+    hits = BANDS
+    for n in (2**p, 2 ** (p + 1) - 1):
+        n = min(n, 1 << 14)  # the same to four digits from here on
+        if n > ALL:
+            while chance(n, math.ceil(THRESHOLD * n), BANDS, hits) < RECALL:
+                hits -= 1
+    return BANDS, hits
 
 
-#: PLAN[query part][index part] = banding, for a query of its part's mean size.
-PLAN = [[banding(jaccard(THRESHOLD, 1.4 * 2**q, min(2.0 ** (i + 1), 2.0 * 1.4 * 2**q if i == q else 2.0 ** (i + 1)))) for i in range(SIZES)] for q in range(SIZES)]
+PLAN = [plan(p) for p in range(SIZES)]
 
 
-def needed(p: int) -> dict[int, int]:
-    """Of each number of rows, the bands that a document of part p has to have, as a query or as a member."""
-    need: dict[int, int] = {}
-    for q, i in [(p, i) for i in range(p, SIZES)] + [(q, p) for q in range(p)]:
-        if i - q <= 4 or (q == p and i - q <= 4):
-            r, b = PLAN[q][i]
-            need[r] = max(need.get(r, 0), b)
-    return need
+def needed(n: F.Column) -> F.Column:
+    """The bands that a container has of a query of n shingles."""
+    part = F.length(F.bin(n))
+    return F.when(n <= ALL, F.ceil(n * THRESHOLD - 1e-9)).otherwise(F.element_at(F.array(*(F.lit(h) for _, h in PLAN)), part)).cast("int")
 
 
-NEED = [needed(p) for p in range(SIZES)]
-_rng = np.random.default_rng(7)
-_A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted set of 48-bit shingle hashes."""
+    return distinct(Hashed(text).runs(SHINGLE) >> U64(16))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    x = mix(shingles.astype(U64)).astype(np.uint32)
-    for i in range(0, len(x), 2048):
-        h = x[i : i + 2048, None] * _A
-        h += _B
-        h ^= h >> np.uint32(15)
-        np.minimum(low, h.min(axis=0), out=low)
-    return low
+def packed(s: np.ndarray) -> bytes:
+    """Six bytes a shingle."""
+    return s.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes()
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted set of 32-bit shingle hashes; two documents of n shingles share about n * n / 2**32 by chance."""
-    return np.unique((Hashed(text).runs(SHINGLE) >> U64(32)).astype(np.uint32))
-
-
-def keys(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Set size, bucket keys, and of each key its kind: rows << 8 | band, or, for a sampled shingle, -1 less the number of them."""
-    s = shingle_set(text)
-    if not len(s):
-        return 0, np.zeros(0, np.int64), np.zeros(0, np.int16)
-    sig = signature(s).astype(U64)
-    sample = s[s % SAMPLE == 0].astype(U64)
-    out, kinds = [sample], [np.full(len(sample), max(-32768, -1 - len(sample)), np.int16)]
-    for r, b in NEED[part(len(s))].items():
-        rows = sig[: r * b].reshape(b, r)
-        h = np.arange(b, dtype=U64) + U64(r << 8)
-        kinds.append(h.astype(np.int16))
-        for j in range(r):
-            h = mix(h * U64(0x9E3779B97F4A7C15) ^ rows[:, j])
-        out.append(h)
-    return len(s), np.concatenate(out).view(np.int64), np.concatenate(kinds)
-
-
-def _uid() -> F.Column:
-    """A key for (doc_id, text) that sorts by doc_id; ids out of range and null ids come last."""
-    i, h = F.col("doc_id").cast("long"), row_key()
-    own = F.shiftleft(i, ID_BITS) + h.bitwiseAND((1 << ID_BITS) - 1)
-    return F.when((i >= 0) & (i < ID_RANGE), own).otherwise(F.lit(1 << 62) + h.bitwiseAND((1 << 62) - 1))
-
-
-def _ids(df: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """The columns' keys as ids; only ids out of range need to be looked up."""
-    odd = None
-    for c in columns:
-        df = df.withColumn(f"{c}_id", F.when(F.col(c) < 1 << 62, F.shiftright(c, ID_BITS)))
-    if not df.filter(" or ".join(f"{c} >= {1 << 62}" for c in columns)).isEmpty():
-        odd = rows.filter((F.col("doc_id") < 0) | (F.col("doc_id") >= ID_RANGE)).select(F.col("uid").alias("odd"), F.col("doc_id").alias("odd_id")).distinct()
-        for c in columns:
-            df = df.join(odd, F.col(c) == F.col("odd"), "left").withColumn(f"{c}_id", F.coalesce(f"{c}_id", "odd_id")).drop("odd", "odd_id")
-    return df
-
-
-def _above() -> F.Column:
-    """By how many partitions a member has to be above a query for this bucket's band, or sampled shingle, to count."""
-    kind = F.col("kind").cast("int")
-    d = F.when(kind < 0, FAR)
-    for i, (r, b) in enumerate(PLAN[0][: FAR + 3]):
-        d = d.when((F.shiftright(kind, 8) == r) & (kind.bitwiseAND(255) < b), i)
-    return d.otherwise(SIZES)
-
-
-def _members(shared: DataFrame) -> DataFrame:
-    """The buckets' rows, with the next and the largest of the members that band and sizes allow."""
-    part = lambda n: F.floor(F.log2(n)).cast("int")
-    w = W.partitionBy("key").orderBy("part")
-    least = F.min(F.struct(F.col("n").alias("xn"), (-F.col("uid")).alias("o"), F.col("uid").alias("xuid")))
-    rows = shared.withColumn("part", part("n")).withColumn("above", _above())
-    first = None
-    for d in range(1, FAR + 3):
-        x = least.over(w.rangeBetween(d, SIZES))
-        first = F.when(F.col("above") == d, x) if first is None else first.when(F.col("above") == d, x)
-    first = F.struct(first["xn"].alias("xn"), first["xuid"].alias("xuid"))
-    rows = rows.withColumn("next", F.when(F.col("above") == 0, F.col("next")).otherwise(first))
-    return rows.withColumn("top", F.when(part("top.xn") >= F.col("part") + F.col("above"), F.col("top")))
-
-
-def _sets(rows: DataFrame, uids: DataFrame) -> DataFrame:
-    """(uid, s): the shingle sets of some documents."""
+def unpacked(*data: bytes) -> np.ndarray:
+    x = np.frombuffer(b"".join(data), "<u2").reshape(-1, 3)
+    out = np.zeros((len(x), 4), "<u2")
+    out[:, :3] = x
+    return out.view("<u8").ravel()
+
+
+def set_key(s: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    whole = mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)
+    return int(mix(np.array([whole + U64(len(s))]))[0].astype(np.int64)) if len(s) else 0
+
+
+def _sets(docs: DataFrame, s: Scratch) -> DataFrame:
+    """(doc_id, late, h, cid, n, low, rest): of each row its set, the bands apart; late puts negative ids and then null ones last."""
+    rows = picked(docs, doc_id="long", text="string").withColumn("h", row_key())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([x["uid"], pa.array([shingle_set(t).tobytes() for t in x["text"].to_pylist()], pa.binary())], ["uid", "s"])
+                got = [shingle_set(t) for t in x["text"].to_pylist()]
+                cut = [len(g) if len(g) <= ALL else BANDS for g in got]
+                cols = [pa.array([set_key(g) for g in got], pa.int64()), pa.array([len(g) for g in got], pa.int32()), pa.array([packed(g[:m]) for g, m in zip(got, cut)], pa.binary()), pa.array([packed(g[m:]) for g, m in zip(got, cut)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], *cols], ["doc_id", "h", "cid", "n", "low", "rest"])
 
-    return keep_ids(rows.select("uid", "text"), "uid", uids).mapInArrow(run, "uid long, s binary")
+    late = F.when(F.col("doc_id").isNull(), 2).when(F.col("doc_id") < 0, 1).otherwise(0)
+    return s.table(rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, cid long, n int, low binary, rest binary").withColumn("late", late), "none")
 
 
-def _check(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact containment of pairs (uid, xuid) where it reaches the threshold, as (uid, xuid, containment).
-
-    Each member's set goes before those of its queries in one sorted stream, so
-    a member of thousands of buckets isn't copied for each query; SALT parts
-    share the work of such a member.
-    """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALT)))
-    members = pairs.select("xuid", "salt").distinct().join(sets.select(F.col("uid").alias("xuid"), "s").dropDuplicates(["xuid"]), "xuid").select("xuid", "salt", F.lit(None).cast("long").alias("uid"), "s")
-    queries = pairs.join(sets.dropDuplicates(["uid"]), "uid").select("xuid", "salt", "uid", "s")
-    stream = members.unionByName(queries).repartition("xuid", "salt").sortWithinPartitions("xuid", "salt", F.col("uid").asc_nulls_first())
+def _filter(sets: DataFrame) -> Broadcast:
+    """A bit for two hashes of each band of any document: an array of at most 2**FILTER_MOST bits."""
+    bits = min(FILTER_MOST, max(19, math.ceil(math.log2(max(1, sets.count()) * BANDS * FILTER_BITS))))
+    block = 1 << 16
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.zeros(0, np.uint32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
-            out: list[tuple[int, int, float]] = []
-            for uid, xuid, s in zip(b["uid"].to_pylist(), b["xuid"].to_pylist(), b["s"]):
-                s = np.frombuffer(s.as_buffer(), np.uint32)
-                if uid is None:
-                    whole = s.copy()
-                    continue
-                at = np.searchsorted(whole, s)
-                at[at == len(whole)] = 0
-                got = np.count_nonzero(whole[at] == s) / len(s)
-                if got >= THRESHOLD:
-                    out.append((uid, xuid, got))
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["uid", "xuid", "containment"])
-
-    return stream.mapInArrow(compare, "uid long, xuid long, containment double")
-
-
-def containers(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The documents as (uid, doc_id, text), and of each that another one contains (uid, parent, containment), once for each distinct (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("uid", _uid())
+            at = distinct(np.concatenate(places(unpacked(*b["low"].to_pylist()), bits)))
+            if len(at):
+                first = np.flatnonzero(np.r_[True, at[1:] >> 3 != at[:-1] >> 3])
+                whole[at[first] >> 3] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
+        whole = whole.reshape(-1, block)
+        for i in np.flatnonzero(whole.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([whole[i].tobytes()], pa.binary())], ["block", "bits"])
+
+    def either(t: pa.Table) -> pa.Table:
+        out = np.zeros(block, np.uint8)
+        for x in t["bits"]:
+            out |= np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table([t["block"].slice(0, 1).cast(pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "bits"])
+
+    parts = sets.select("low").mapInArrow(run, "block int, bits binary")
+    # By sixty-fourths first, so that no task holds one block of all others.
+    some = parts.groupBy("block", F.pmod(F.spark_partition_id(), F.lit(64))).applyInArrow(either, "block int, bits binary")
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for r in some.groupBy("block").applyInArrow(either, "block int, bits binary").collect():
+        whole[r.block * block : (r.block + 1) * block] = np.frombuffer(r.bits, np.uint8)
+    return sets.sparkSession.sparkContext.broadcast((bits, whole))
+
+
+def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys + U64(1))
+    return (h & U64((1 << bits) - 1)).astype(np.int64), (h >> U64(64 - bits)).astype(np.int64)
+
+
+def _buckets(sets: DataFrame, s: Scratch) -> DataFrame:
+    """(key, cid, n, band, many): the members of buckets that more than one class is in, at least once each; band tells whether the member may be looked up there."""
+    shared = _filter(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.value
+        done: set[int] = set()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
-                got = [keys(t) for t in x["text"].to_pylist()]
-                m = np.array([len(k) for _, k, _ in got])
-                which = pa.array(np.repeat(np.arange(len(got)), m))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k, _ in got])), x["uid"].take(which), pa.array(np.repeat(np.array([n for n, _, _ in got], np.int32), m)), pa.array(np.concatenate([k for _, _, k in got]))], ["key", "uid", "n", "kind"])
-
-    bands = rows.select("uid", "text").mapInArrow(run, "key long, uid long, n int, kind short")
-    # By size, of equals the least key last; repeated rows share a key, so a bucket of one document is one whose least and greatest are the same.
-    w = W.partitionBy("key").orderBy("n", (-F.col("uid")).alias("o"))
-    every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    x = F.struct(F.col("n").alias("xn"), F.col("uid").alias("xuid"))
-    bands = bands.withColumn("top", F.last(x).over(every)).withColumn("next", F.lead(x).over(w)).withColumn("least", F.min("uid").over(every)).withColumn("most", F.max("uid").over(every))
-    shared = s.table(bands.filter("least <> most").select("key", "uid", "n", "kind", "top", "next"))
-
-    # Of a document with a container at least THRESHOLD of the sampled shingles occur elsewhere, but for chance (one case in 200).
-    sampled = shared.filter("kind < 0").groupBy("uid").agg(F.count("*").alias("hit"), F.max(-1 - F.col("kind").cast("int")).alias("m"))
-    likely = sampled.filter(F.col("hit") / F.col("m") >= THRESHOLD - 2.6 * F.sqrt(F.lit(THRESHOLD * (1 - THRESHOLD)) / F.col("m"))).select("uid")
-    tiny = shared.filter((F.col("kind") > 0) & (F.col("n") < TINY)).select("uid")
-    queries = likely.unionByName(tiny).distinct()
-
-    near = keep_ids(_members(shared), "uid", s.table(queries)).select("uid", "n", "kind", F.explode(F.array_distinct(F.array("top", "next"))).alias("x")).select("uid", "n", "kind", "x.*")
-    found = near.filter(F.col("xuid") != F.col("uid")).groupBy("uid", "xuid", "xn").agg(F.count("*").alias("c"))
-    best = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), F.desc("xn"), "xuid"))
-    pairs = s.table(found.withColumn("place", best).select("uid", "xuid", "place"))
-    sets = s.table(_sets(rows, pairs.select(F.explode(F.array("uid", "xuid")).alias("uid")).distinct()))
-    first = s.table(_check(sets, pairs.filter("place = 1").select("uid", "xuid")))
-    rest = pairs.filter("place > 1").join(first.select("uid"), "uid", "left_anti").select("uid", "xuid")
-    more = _check(sets, rest).groupBy("uid").agg(F.max_by(F.struct("xuid", "containment"), F.struct("containment", -F.col("xuid"))).alias("b")).select("uid", "b.xuid", "b.containment")
-    return rows, s.table(first.unionByName(more).withColumnRenamed("xuid", "parent"))
-
-
-def groups(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, kept_id, container_id, containment): each document that is redundant, the document of its group that stays, and the one that contains it.
-
-    Documents without a word (null or empty text too) are in no group. Rows
-    with the same doc_id and text are one document; a doc_id with two texts is
-    two documents. Copies of equal size lead to the one with the least doc_id,
-    negative and null ones last. Other columns are ignored; an empty table
-    gives no rows.
+                keys, cids, ns, band = [], [], [], []
+                for cid, n, low, rest in zip(x["cid"].to_pylist(), x["n"].to_pylist(), x["low"].to_pylist(), x["rest"].to_pylist()):
+                    if n and cid not in done:
+                        done.add(cid)
+                        own, more = unpacked(low), unpacked(rest)
+                        p, q = places(more, bits)
+                        more = more[((seen[p >> 3] >> (p & 7).astype(np.uint8)) & (seen[q >> 3] >> (q & 7).astype(np.uint8)) & 1).astype(bool)]
+                        keys += [own, more]
+                        m = len(own) + len(more)
+                        cids.append(np.full(m, cid, np.int64))
+                        ns.append(np.full(m, n, np.int32))
+                        band.append(np.arange(m) < len(own))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(band))], ["key", "cid", "n", "band"])
+
+    rows = s.table(sets.select("cid", "n", "low", "rest").mapInArrow(run, "key long, cid long, n int, band boolean"))
+    many = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("a"), F.max("cid").alias("b"), F.max("band").alias("any")).filter("a <> b and any").select("key", "many")
+    found = s.table(rows.join(many, "key"))
+    shared.unpersist()
+    return found
+
+
+def _queries(buckets: DataFrame, s: Scratch) -> DataFrame:
+    """(cid, n, keys): the queries, and the shared bands of each, those of the fullest buckets first."""
+    bands = F.sort_array(F.collect_set(F.struct("many", "key")), asc=False)
+    return s.table(buckets.filter("band").groupBy("cid", "n").agg(bands.alias("keys")).filter(F.size("keys") >= needed(F.col("n"))))
+
+
+def _order(prefix: str = "") -> list[str]:
+    return [prefix + c for c in ("late", "id", "h")]
+
+
+def _small(queries: DataFrame, buckets: DataFrame, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of queries of up to ALL shingles the containers (cid, parent, containment, m), and (cid, links) of all that is linked to them, compared by patterns."""
+    asked = s.table(queries.filter(F.col("n") <= ALL).select("cid", "n", F.explode("keys.key").alias("key")))
+    words = asked.select("key").distinct()
+    has = buckets.join(words, "key", "left_semi").groupBy("cid", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    # Sizes beyond any query's count as one.
+    has = has.withColumn("size", F.least("n", F.lit(ALL + 1))).withColumn("pattern", F.xxhash64("keys", "size"))
+    member = s.table(has.join(classes.select("cid", *_order()), "cid"))
+    lead = F.min(F.struct((-F.col("n")).alias("less"), *_order(), "cid"))
+    kinds = s.table(member.groupBy("pattern", "size").agg(F.first("keys").alias("keys"), F.count("*").alias("members"), lead.alias("lead")))
+    met = asked.join(kinds.select("pattern", "size", F.explode("keys").alias("key")), "key").filter("size >= n").groupBy("cid", "n", "pattern", "size").agg(F.count("*").alias("common"))
+    met = met.filter(F.col("common") >= needed(F.col("n"))).join(kinds.select("pattern", "members", "lead"), "pattern")
+    own = member.select("cid", F.col("pattern").alias("own"), F.struct(*_order()).alias("o"))
+    met = s.table(met.join(own, "cid").withColumn("others", F.col("members") - (F.col("own") == F.col("pattern")).cast("long")).filter("others > 0"))
+    lead_order = F.struct(*(F.col(f"lead.{c}").alias(c) for c in _order()))
+    up = met.filter((F.col("size") > F.col("n")) | (lead_order < F.col("o")))
+    best = F.max_by(F.struct(F.col("lead.cid").alias("parent"), (F.col("common") / F.col("n")).alias("containment"), (-F.col("lead.less")).alias("m")), F.struct(F.col("common"), (-F.col("lead.less")).alias("m"), (-F.col("lead.late")).alias("l"), F.bitwise_not("lead.id").alias("i"), "pattern"))
+    chosen = up.groupBy("cid").agg(best.alias("b")).select("cid", "b.*")
+    below = met.filter("size > n").groupBy("pattern").agg(F.count("*").alias("links"))
+    links = met.groupBy("cid").agg(F.sum("others").alias("links")).unionByName(member.select("cid", "pattern").join(below, "pattern").select("cid", "links"))
+    return chosen, links
+
+
+def _pairs(queries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(cid, n, x): the larger queries, each with every set at least as large that is in one of its buckets but for the hits - 1 fullest."""
+    kept = queries.filter(F.col("n") > ALL).select("cid", "n", F.explode(F.slice("keys", needed(F.col("n")), BANDS)).alias("k")).select("cid", "n", "k.key")
+    members = buckets.filter(F.col("n") > ALL).select("key", F.col("cid").alias("x"), F.col("n").alias("xn"))
+    return kept.join(members, "key").filter("xn >= n and x <> cid").select("cid", "n", "x", "xn").distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
+    """(cid, x, common) of the pairs that reach THRESHOLD.
+
+    Pairs meet in cells by the least hash of the larger set, which near copies
+    share, so that a set travels once for each cell and not for each pair.
     """
-    with Scratch(docs.sparkSession) as s:
-        rows, forest = containers(docs, s)
-        named = _ids(_roots(forest, s), rows, "uid", "root", "parent")
-        return s.result(named.select(F.col("uid_id").alias("doc_id"), F.col("root_id").alias("kept_id"), F.col("parent_id").alias("container_id"), "containment"))
+    ids = pairs.select(F.explode(F.array("cid", "x")).alias("cid")).distinct()
+    texts = s.table(sets.join(ids, "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "n", "low", "rest", F.xxhash64(F.substring("low", 1, 6)).alias("least")), "none")
+    cells = pairs.join(texts.select(F.col("cid").alias("x"), F.col("least").alias("cell")), "x")
+    high = cells.groupBy("cell", "x").agg(F.first("xn").alias("xn"), F.count("*").alias("pairs")).groupBy("cell").agg(F.sum("xn").alias("words"), F.sum("pairs").alias("pairs"))
+    kx = F.ceil(F.col("words") / CELL_WORDS)
+    wide = high.select("cell", kx.alias("kx"), F.ceil(F.col("pairs") / (kx * CELL)).alias("kq"))
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.col(k))
+    cells = s.table(cells.join(wide, "cell").select("cid", "x", "cell", (part("cid", "kq") * F.col("kx") + part("x", "kx")).alias("sub")))
+    own = texts.select("cid", "low", "rest")
+    none = F.lit(None).cast("array<long>")
+    larger = cells.select("cell", "sub", F.col("x").alias("cid")).distinct().join(own, "cid").select("cell", "sub", "cid", none.alias("xs"), "low", "rest")
+    asking = cells.groupBy("cell", "sub", "cid").agg(F.collect_list("x").alias("xs")).join(own, "cid").select("cell", "sub", "cid", "xs", "low", "rest")
+    stream = larger.unionByName(asking).repartition("cell", "sub").sortWithinPartitions("cell", "sub", F.col("xs").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for cell, sub, cid, xs, low, rest in zip(*(b[c].to_pylist() for c in ("cell", "sub", "cid", "xs", "low", "rest"))):
+                if now != (cell, sub):
+                    now, held = (cell, sub), {}
+                words = unpacked(low, rest)
+                if xs is None:
+                    held[cid] = words
+                    continue
+                for x in xs:
+                    whole = held[x]
+                    at = np.searchsorted(whole, words)
+                    at[at == len(whole)] = 0
+                    common = int(np.count_nonzero(whole[at] == words))
+                    if common >= THRESHOLD * len(words) - 1e-9:
+                        out.append((cid, x, common))
+            cols = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cid", "x", "common"])
+
+    return s.table(stream.mapInArrow(run, "cid long, x long, common long"))
+
+
+def _large(queries: DataFrame, buckets: DataFrame, sets: DataFrame, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """As _small, of queries of more than ALL shingles, compared set by set."""
+    found = _compared(s.table(_pairs(queries, buckets)), sets, s)
+    mine = classes.select("cid", "n", F.struct(*_order()).alias("o"))
+    both = found.join(mine, "cid").join(mine.select(F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("o").alias("xo")), "x")
+    swap = (F.col("xn") == F.col("n")) & (F.col("xo") > F.col("o"))
+    pick = lambda a, b, name: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name)
+    edges = s.table(both.select(pick("cid", "x", "cid"), pick("x", "cid", "parent"), pick("xo", "o", "po"), F.col("n"), F.col("xn").alias("m"), "common").dropDuplicates(["cid", "parent"]))
+    best = F.max_by(F.struct("parent", (F.col("common") / F.col("n")).alias("containment"), "m"), F.struct("common", "m", (-F.col("po.late")).alias("l"), F.bitwise_not("po.id").alias("i"), "parent"))
+    chosen = edges.groupBy("cid").agg(best.alias("b")).select("cid", "b.*")
+    links = edges.select(F.explode(F.array("cid", "parent")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
+    return chosen, links
 
 
 def _roots(forest: DataFrame, s: Scratch) -> DataFrame:
-    """Follows the parents to the top by pointer doubling; the paths are short, as each step goes to a larger document."""
+    """(cid, parent, containment, root): follows the parents to the top by pointer doubling; each step goes to a larger set, or one of an earlier document."""
     now = forest.withColumn("root", F.col("parent"))
     while True:
-        up = now.select(F.col("uid").alias("root"), F.col("root").alias("up"))
-        step = s.table(now.join(up, "root", "left").select("uid", "parent", "containment", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+        up = now.select(F.col("cid").alias("root"), F.col("root").alias("up"))
+        step = s.table(now.join(up, "root", "left").select("cid", "parent", "containment", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
         now = step.drop("moved")
         if step.filter("moved").isEmpty():
             return now
 
 
+def _search(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, forest, links): one class for each distinct set, the container chosen for each redundant class, and counts of linked classes to be summed by cid."""
+    sets = _sets(docs, s)
+    first = F.min(F.struct("late", F.col("doc_id").alias("id"), "h"))
+    classes = s.table(sets.filter("n > 0").groupBy("cid").agg(first.alias("first"), F.first("n").alias("n"), (F.min("h") < F.max("h")).alias("copied")).select("cid", "n", "copied", "first.*"))
+    buckets = _buckets(sets, s)
+    queries = _queries(buckets, s)
+    small, few = _small(queries, buckets, classes, s)
+    large, many = _large(queries, buckets, sets, classes, s)
+    return sets, classes, s.table(small.unionByName(large).drop("m")), few.unionByName(many)
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, kept_id, container_id, containment, n_links): each redundant document, the document of its group that stays, the one chosen of those that contain it, and how many different sets are linked to its own, as containers or contained.
+
+    Every link has a redundant end, so none is without a row. Documents without
+    a word (null or empty text too) are in no group. Rows with the same doc_id
+    and text are one document; a doc_id with two texts is two documents. Of
+    equal sets the least doc_id stays, negative ones after others and null ones
+    last; of linked sets of one size too. Of several containers the one with the
+    most in common is named, of equal ones the largest. Other columns are
+    ignored; an empty table gives no rows.
+    """
+    with Scratch(docs.sparkSession) as s:
+        sets, classes, forest, links = _search(docs, s)
+        roots = _roots(forest, s)
+        counts = links.groupBy("cid").agg(F.sum("links").alias("n_links"))
+        name = lambda c: classes.select(F.col("cid").alias(c), F.col("id").alias(f"{c}_id"))
+        known = classes.join(roots, "cid", "left").filter("copied or root is not null").join(counts, "cid", "left")
+        known = known.join(name("parent"), "parent", "left").join(name("root"), "root", "left")
+        known = s.table(known.select("cid", "id", F.col("h").alias("first"), F.col("parent_id"), F.col("root").isNotNull().alias("below"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root_id")).alias("kept_id"), "containment", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+        rows = sets.filter("n > 0").select("doc_id", "h", "cid").distinct().join(known, "cid")
+        own = F.col("h") == F.col("first")
+        rows = rows.filter(~own | F.col("below"))
+        return s.result(rows.select("doc_id", "kept_id", F.when(own, F.col("parent_id")).otherwise(F.col("id")).alias("container_id"), F.when(own, F.col("containment")).otherwise(F.lit(1.0)).alias("containment"), "n_links"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, and of rows repeated with the same doc_id and text one row; documents without a word stay but for such repeats. docs' own columns."""
+    """Pipeline stage: redundant documents go, so that one of each group stays; documents without a word stay.
+
+    Of rows repeated with the same doc_id and text one stays, any of them where
+    other columns differ. Null ids and texts are as in groups. docs' own
+    columns, whatever their names; an empty table stays empty.
+    """
     with Scratch(spark) as s:
-        gone = s.result(containers(docs, s)[1].select("uid"))
-    key, names = "__uid", docs.columns
-    while key in names:
-        key += "_"
-    kept = docs.withColumn(key, _uid()).join(sized(gone.withColumnRenamed("uid", key)), key, "left_anti")
-    return kept.dropDuplicates([key]).select(*(f"`{c}`" for c in names))
+        sets, classes, forest, _ = _search(docs, s)
+        copies = sets.filter("n > 0").select("cid", "h", F.col("doc_id").alias("id")).join(classes.filter("copied").select("cid", F.col("h").alias("first")), "cid").filter("h <> first").select("id", "h")
+        below = forest.join(classes, "cid").select("id", "h")
+        gone = s.result(copies.unionByName(below).distinct())
+        twice = s.result(sets.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h"))
+    names = docs.columns
+    at = [F.col(f"c{place(names, c)}") for c in ("doc_id", "text")]
+    rows = opaque(docs).withColumn("h", F.xxhash64(at[0].cast("long"), F.coalesce(at[1].cast("string"), F.lit(""))))
+    small = sized(gone.withColumnRenamed("h", "g"), 24)
+    kept = rows.join(small, (rows["h"] == small["g"]) & at[0].cast("long").eqNullSafe(small["id"]), "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(sized(twice), "h", "left_anti").unionByName(kept.join(sized(twice), "h", "left_semi").dropDuplicates(["h", f"c{place(names, 'doc_id')}"]))
+    return kept.drop("h").toDF(*names)
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,14 @@ token are run on every URL.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from re import _constants as C
 from re import _parser as P
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, table
+from .common import BROADCAST_BYTES, picked, table
 
 #: (rule id, action, pattern); the syntax common to Java and RE2.
 RULES: list[tuple[int, str, str]] = [
@@ -78,6 +78,12 @@ def literal_tokens(pattern: str) -> list[str]:
     return sorted(found)
 
 
+def _hint(rules: list[tuple[int, str, str]], need: list[tuple[int, str]]) -> Callable[[DataFrame], DataFrame]:
+    """Broadcast where the rules and their tokens, which the driver holds, are of at most BROADCAST_BYTES."""
+    total = sum(len(p) + len(a) + 16 for _, a, p in rules) + sum(len(t) + 16 for _, t in need)
+    return F.broadcast if total <= BROADCAST_BYTES else (lambda x: x)
+
+
 def tokens(url: str = "url") -> F.Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(url), F.lit("[a-z0-9]+"), F.lit(0)))
 
@@ -91,21 +97,23 @@ def filter_urls(pages: DataFrame, rules: list[tuple[int, str, str]] = RULES) ->
     go to the alphabetically first token.
     """
     spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url")).filter("url is not null")
+    rows = picked(pages, page_id="long", url="string").filter("url is not null")
     schema = "rule_id int, action string, pattern string"
     all_rules = spark.createDataFrame(rules, schema)
     need = [(r, t) for r, _, p in rules for t in literal_tokens(p)]
     wanted = spark.createDataFrame(need, "rule_id int, token string")
     used = rows.select(F.explode(tokens()).alias("token"))
     names = wanted.select("token").distinct()
-    hint = F.broadcast if len(need) <= BROADCAST_ROWS else (lambda x: x)
+    hint = _hint(rules, need)
     seen = used.join(hint(names), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     keys = wanted.join(seen, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     indexed = hint(keys.join(all_rules, "rule_id"))
     candidates = rows.select("page_id", "url", F.explode(tokens()).alias("token")).join(indexed, "token").select("page_id", "url", "rule_id", "action", "pattern")
     loose = [x for x in rules if x[0] not in {r for r, _ in need}]
     if loose:
-        candidates = candidates.unionByName(rows.crossJoin(hint(spark.createDataFrame(loose, schema))))
+        # Every URL runs these, so they go to it as one array: a column of each row, and no join.
+        each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule_id"), F.lit(a).alias("action"), F.lit(p).alias("pattern")) for r, a, p in loose)))
+        candidates = candidates.unionByName(rows.select("page_id", "url", each.alias("r")).select("page_id", "url", "r.*"))
     return candidates.filter(F.expr("regexp_like(url, pattern)")).select("page_id", "rule_id", "action")
 
 
