@@ -15,8 +15,9 @@ window whose outer tokens are unchanged leaves every pair valid.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import picked, row_key, table
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -36,10 +37,19 @@ LEAF = 32_768
 PIECE = 2_048
 
 
-@lru_cache(maxsize=4)
 def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return _encoding(Path(path).read_bytes())
+
+
+def shipped(spark: SparkSession, path: str) -> Callable[[], tiktoken.Encoding]:
+    """The encoding for executors: the driver reads the vocabulary, a file of a few MB, and sends it."""
+    shared = spark.sparkContext.broadcast(Path(path).read_bytes())
+    return lambda: _encoding(shared.value)
+
+
+@lru_cache(maxsize=4)
+def _encoding(data: bytes) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -128,15 +138,16 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCA
     """Rows (doc_id, tokens, n_tokens, exact), one for each row of docs; exact says that decoding gives back the text.
 
     A null text has null tokens, 0 of them, exact null; an empty text an empty
-    list, exact. Repeated rows give repeated results. Very long texts, with or
-    without blanks, go through the distributed tree. Other columns are ignored.
+    list, exact; a null doc_id stays null. Repeated rows give repeated results.
+    Very long texts, with or without blanks, go through the distributed tree.
+    Other columns, whatever their names, are ignored; an empty table gives none.
     """
-    path = f"{tokenizers}/{vocabulary}"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    own = shipped(docs.sparkSession, f"{tokenizers}/{vocabulary}")
+    rows = picked(docs, doc_id="long", text="string")
     is_long = F.coalesce(F.length("text"), F.lit(0)) > leaf
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = own()
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -152,7 +163,7 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCA
                     yield pa.RecordBatch.from_arrays([pa.array([uid] * len(some)), pa.array([i] * len(some), pa.int64()), pa.array([p // leaf for p in some], pa.int32()), pa.array([x[p : p + leaf] for p in some])], ["uid", "doc_id", "part", "text"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = own()
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
@@ -160,7 +171,7 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCA
                 yield pa.RecordBatch.from_arrays([row["uid"], row["doc_id"], row["part"], row["text"], pa.array([[len(p) for p, _ in got]], pa.list_(pa.int32())), pa.array([[len(t) for _, t in got]], pa.list_(pa.int32())), pa.array([[t for _, ts in got for t in ts]], pa.list_(pa.int32()))], ["uid", "doc_id", "part", "text", "chars", "counts", "tokens"])
 
     def join(t: pa.Table) -> pa.Table:
-        enc = encoding(path)
+        enc = own()
         seen: dict[int, tuple] = {}
         copies = 0
         for part, text, chars, counts, tokens in zip(*(t[c].to_pylist() for c in ("part", "text", "chars", "counts", "tokens"))):
@@ -186,14 +197,14 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCA
 
 def decode(encoded: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (doc_id, text) from rows (doc_id, tokens); null tokens give a null text, bytes that aren't UTF-8 the replacement character."""
-    path = f"{tokenizers}/{vocabulary}"
+    own = shipped(encoded.sparkSession, f"{tokenizers}/{vocabulary}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = own()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([None if x is None else enc.decode_bytes(x).decode(errors="replace") for x in b["tokens"].to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "doc_id long, text string")
+    return picked(encoded, doc_id="long", tokens="array<int>").mapInArrow(run, "doc_id long, text string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +212,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the documents as tokens."""
+    """Pipeline stage, the last: the documents as tokens, as encode has them: nulls, empty texts, repeats and other columns too."""
     return encode(docs)
 
 

@@ -2,7 +2,7 @@
 
 An alignment that reaches SCORE matches at least that share of the item's
 words, so of any set of places that leaves out fewer it matches some: the
-rarest such places of each item, by a sample of the corpus, are its seeds. Where
+rarest such places of each item, by the documents they are in, are its seeds. Where
 enough of them lie close together, the score that the item's words could reach
 in any order bounds that of an alignment; only where this bound suffices are the
 item and the stretch aligned word by word. Neither step can lose a match, so
@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Hashed, table
+from .common import U64, Hashed, opaque, picked, place, table
 
 #: Items of up to 2 * GRAM words, of which a few match by chance, need a run of GRAM words in common; it alone reaches SCORE.
 GRAM = 3
-#: One document in RARITY counts to tell how rare a word is.
-RARITY = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of a perfect copy's score.
 SCORE = 0.5
@@ -179,7 +177,7 @@ def search(items: Items, text: str | None) -> list[tuple[int, float, int, int]]:
 
 def load(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
     """The test items with their seeds, one pass's worth at a time."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("text is not null").distinct()
+    bench = picked(benchmark, item_id="long", text="string").filter("text is not null").distinct()
     total = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = 1 + total // (6 * PASS_WORDS)
     for k in range(passes):
@@ -195,8 +193,7 @@ def load(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
             at = np.flatnonzero(n[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["word", "n"])
 
-        some = docs.select(F.col("text").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(RARITY)) == 0)
-        counts = some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+        counts = picked(docs, text="string").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         docs_with = np.zeros(len(items.vocabulary), np.int64)
         docs_with[counts["word"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
         choose(items, docs_with)
@@ -222,15 +219,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = list(zip(*got)) if got else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()])], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, item_id long, score double, start_word long, end_word long")
+        found = picked(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, item_id long, score double, start_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a test item go; the others stay as they are. One narrow pass for each load of items."""
-    at = docs.columns.index("text")
-    kept = docs
+    """Pipeline stage: documents that hold a test item go; the others stay as they are. One narrow pass for each load of items.
+
+    Null and empty texts stay, repeated rows stay or go together. docs' own
+    columns, whatever their names; an empty table stays empty.
+    """
+    names, at = docs.columns, place(docs.columns, "text")
+    kept = opaque(docs)
+    schema = kept.schema
     for items in load(docs, table(spark, sf_dir, "benchmark")):
         shared = spark.sparkContext.broadcast(items)
 
@@ -238,8 +240,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array([not search(shared.value, x) for x in b.column(at).to_pylist()], pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+        kept = kept.mapInArrow(run, schema)
+    return kept.toDF(*names)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, picked, sized, table
 
 #: Labelled rows taken per class to build the dictionaries, and as many more per class to fit the curve.
 TRAIN_ROWS = 1200
+#: Bytes of text per class that the dictionaries are built from, at most; a text of more than a sixteenth of that is no sample.
+TRAIN_BYTES = 16 << 20
 DICT_BYTES = 110_000
 CHUNK = 2048
 LEVEL = 3
@@ -87,22 +89,34 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most 2 * rows labelled rows per class, those whose text has the least hash; a row is good if its quality is 1.
+    """Fit on at most 2 * rows labelled texts per class, those with the least hash; a row is good if its quality is 1.
 
-    Repeated (doc_id, text) rows count once; rows with a null or empty text, or
-    a null quality, not at all.
+    Repeated rows count once; a doc_id labelled both ways, and a text of which
+    one copy is good and another bad, not at all, nor rows with a null or empty
+    text or a null quality. So the model is the same whatever the order of the
+    rows. At most TRAIN_BYTES of text per class reach the driver, and two
+    numbers for each text of the curve.
     """
-    marks = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").alias("q")).filter("doc_id is not null and q is not null").dropDuplicates(["doc_id"])
-    marks = marks.select("doc_id", (F.col("q") == 1).cast("int").alias("good"))
-    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")).filter("doc_id is not null and text is not null and text <> ''")
-    ids = texts.select("doc_id", "h").join(marks, "doc_id").dropDuplicates(["h"])
-    chosen = ids.withColumn("r", F.row_number().over(W.partitionBy("good").orderBy("h", "doc_id"))).filter(F.col("r") <= 2 * rows).select("doc_id", "h", "good", "r")
-    got = texts.join(F.broadcast(chosen), ["doc_id", "h"]).select("good", "r", "text").toPandas().drop_duplicates(["good", "r"]).sort_values("r")
-    first, second = got[got.r % 2 == 1], got[got.r % 2 == 0]
-    m = Model(dictionary(list(first[first.good == 1].text)), dictionary(list(first[first.good == 0].text)), 0.0, 0.0)
-    coders = m.coders()
-    m.a, m.b = calibrate(np.array([margin(x, coders) for x in second.text]), second.good.to_numpy(dtype=float))
-    return m
+    clear = lambda df, key: df.groupBy(key).agg(F.min("good").alias("good"), F.max("good").alias("most")).filter("good = most").select(key, "good")
+    marks = picked(labels, doc_id="long", quality="int").filter("doc_id is not null and quality is not null")
+    marks = clear(marks.select("doc_id", (F.col("quality") == 1).cast("int").alias("good")), "doc_id")
+    texts = picked(docs, doc_id="long", text="string").filter("doc_id is not null and text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
+    ids = clear(texts.select("doc_id", "h", F.octet_length("text").alias("size")).filter(F.col("size") <= TRAIN_BYTES // 16).join(marks, "doc_id"), "h")
+    w = W.partitionBy("good").orderBy("h")
+    chosen = ids.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * rows)
+    with Scratch(docs.sparkSession) as s:
+        got = s.table(texts.select("h", "text").join(sized(s.table(chosen), 24), "h").groupBy("h", "good", "r").agg(F.first("text").alias("text")))
+        size = F.sum(F.octet_length("text")).over(W.partitionBy("good").orderBy("r"))
+        first = got.filter("r % 2 = 1").withColumn("size", size).filter(F.col("size") <= TRAIN_BYTES).select("good", "r", "text").toPandas().sort_values("r")
+        m = Model(dictionary(list(first[first.good == 1].text)), dictionary(list(first[first.good == 0].text)), 0.0, 0.0)
+
+        def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coders = m.coders()
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b["h"], b["good"], pa.array([margin(x, coders) for x in b["text"].to_pylist()], pa.float64())], ["h", "good", "margin"])
+
+        second = got.filter("r % 2 = 0").select("h", "good", "text").mapInArrow(margins, "h long, good int, margin double").toPandas().sort_values("h")
+    return Model(m.good, m.bad, *calibrate(second.margin.to_numpy(dtype=float), second.good.to_numpy(dtype=float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -122,7 +136,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = [m.probability(x) for x in d]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(d, pa.float64()), pa.array(p, pa.float64()), pa.array([x >= KEEP for x in p], pa.bool_())], ["doc_id", "margin", "score", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, margin double, score double, keep boolean")
+    return picked(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, margin double, score double, keep boolean")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,16 +31,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Hashed, Scratch, keep_ids, mix, row_key, table, word_spans
+from .common import U64, Hashed, Scratch, keep_ids, mix, opaque, picked, place, row_key, sized, table, word_spans
 
 LENGTH = 50
 GRAM = 12
 #: Runs of GRAM words in a window: an anchor lies at most so many words less one after its start.
 SPAN = LENGTH - GRAM + 1
 RUN = 40_000
-#: Ranges of keys for each shuffle partition: a range is merged in memory, one at a time.
-RANGES = 8
+#: Occurrences in a range of keys, on average: a range is merged in memory, one at a time.
+RANGE = 25_000
+#: Anchors of more occurrences are settled window by window, with the same result.
+HOT = 20_000
 NULL_LAST = 2**63 - 1
+#: Parts that share the matches against one text.
+SALT = 16
 
 
 def anchors(h: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,43 +69,72 @@ def _order() -> F.Column:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("uid", row_key())
+    return picked(docs, doc_id="long", text="string").withColumn("uid", row_key())
 
 
-def _repeated(rows: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Whole copies (uid, doc_id, n, first), and of each other document its repeated anchors (uid, keys)."""
+def _repeated(rows: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Whole copies (uid, doc_id, n, first); of each other document its repeated anchors (uid, keys, hot), those of more than HOT occurrences apart; and how many occurrences the others have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
-                keys, many, kind, sizes, ns = [], [], [], [], []
-                for text, same in zip(x["text"].to_pylist(), x["same"].to_numpy()):
+                ns, keys, times = [], [], []
+                for text in x["text"].to_pylist():
                     h = Hashed(text)
                     k, n = np.unique(anchors(h)[1], return_counts=True)
-                    if h.n >= LENGTH:
-                        k, n = np.r_[k, U64(int(same) % 2**64)], np.r_[n, 1]
-                    keys.append(k)
-                    many.append(n > 1)
-                    kind.append(np.r_[np.zeros(max(0, len(k) - 1), bool), np.ones(min(1, len(k)), bool)])
-                    sizes.append(len(k))
                     ns.append(h.n)
-                which = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(U64).view(np.int64)), x["uid"].take(which), x["doc_id"].take(which), x["same"].take(which), pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(np.concatenate(many)), pa.array(np.concatenate(kind))], ["key", "uid", "doc_id", "same", "n", "many", "whole"])
-
-    found = rows.withColumn("same", F.xxhash64("text")).select("uid", "doc_id", "same", "text").mapInArrow(run, "key long, uid long, doc_id long, same long, n int, many boolean, whole boolean")
-    w = W.partitionBy("whole", "key")
-    found = found.withColumn("first", F.min(_order()).over(w)).withColumn("twice", (F.min("same").over(w) < F.max("same").over(w)) | F.max("many").over(w))
-    found = s.table(found.filter("(whole and first.uid <> uid) or (not whole and twice)").select("key", "uid", "doc_id", "n", "whole", "first"))
-    copies = found.filter("whole").select("uid", "doc_id", "n", "first").dropDuplicates(["uid"])
-    lists = found.filter("not whole").groupBy("uid").agg(F.collect_set("key").alias("keys")).join(copies.select("uid"), "uid", "left_anti")
-    return copies, s.table(lists)
+                    keys.append(k)
+                    times.append(n)
+                ends = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).view(np.int64))) for c in (keys, times)]
+                yield pa.RecordBatch.from_arrays([x["uid"], x["doc_id"], x["same"], pa.array(ns, pa.int32()), *lists], ["uid", "doc_id", "same", "n", "keys", "times"])
+
+    texts = rows.select("uid", "doc_id", F.xxhash64("text").alias("same"), "text")
+    found = s.table(texts.mapInArrow(run, "uid long, doc_id long, same long, n int, keys array<long>, times array<long>").filter(F.col("n") >= LENGTH))
+    heads = found.groupBy("same").agg(F.min(_order()).alias("first"), F.max(_order()).alias("last")).filter("first <> last").select("same", "first")
+    copies = s.table(found.select("uid", "doc_id", "same", "n").join(heads, "same").filter("first.uid <> uid").select("uid", "doc_id", "n", "first").dropDuplicates(["uid"]))
+    # From here on of each group of copies only the first counts, once.
+    own = found.join(copies.select("uid"), "uid", "left_anti").select("uid", F.explode(F.arrays_zip("keys", "times")).alias("a")).select("uid", F.col("a.keys").alias("key"), F.col("a.times").alias("times"))
+    total = F.sum("times")
+    twice = s.table(own.groupBy("key").agg((F.min("uid") < F.max("uid")).alias("apart"), F.max("times").alias("most"), total.alias("total")).filter("apart or most > 1").select("key", "total"))
+    mine = own.join(sized(twice), "key").groupBy("uid").agg(F.collect_set(F.when(F.col("total") <= HOT, F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("total") > HOT, F.col("key"))).alias("hot"))
+    count = twice.filter(F.col("total") <= HOT).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    return copies, s.table(mine), count
 
 
 def _texts(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return keep_ids(rows, "uid", lists.select("uid")).dropDuplicates(["uid"]).join(lists, "uid")
 
 
+def _hot_matches(texts: DataFrame, s: Scratch) -> DataFrame:
+    """The windows at anchors of more than HOT occurrences, each with the earliest equal one: a least value for each window, combined before it is exchanged, so that no task holds all occurrences of an anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                x = b.slice(i, 64)
+                out = [np.zeros((4, 0), np.int64)]
+                for uid, doc_id, text, hot in zip(*(x[c].to_pylist() for c in ("uid", "doc_id", "text", "hot"))):
+                    h = Hashed(text)
+                    at, key, low, high = anchors(h)
+                    ok = np.isin(key, np.array(hot, np.int64).view(U64))
+                    at, key, low, many = at[ok], key[ok], low[ok], (high - low + 1)[ok]
+                    start = np.repeat(at - low, many) - (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+                    whole = h.runs(LENGTH)[start]
+                    out.append(np.stack([np.repeat(key, many).view(np.int64), whole.view(np.int64), np.full(len(start), uid), start]))
+                rows = np.concatenate(out, axis=1)
+                ids = dict(zip(x["uid"].to_pylist(), x["doc_id"].to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows), pa.array([ids[u] for u in rows[2].tolist()], pa.int64())], ["key", "window", "uid", "start", "doc_id"])
+
+    windows = s.table(texts.filter(F.size("hot") > 0).select("uid", "doc_id", "text", "hot").mapInArrow(run, "key long, window long, uid long, start long, doc_id long"))
+    place = F.struct(F.coalesce("doc_id", F.lit(NULL_LAST)).alias("o"), "uid", "start")
+    heads = s.table(windows.groupBy("key", "window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("key", "window", "first"))
+    dup = windows.join(sized(heads, 48), ["key", "window"]).filter(place != F.col("first"))
+    first_id = F.when(F.col("first.o") < NULL_LAST, F.col("first.o"))
+    return dup.select("uid", "doc_id", "start", (F.col("start") + LENGTH).alias("end"), F.col("first.uid").alias("first_uid"), first_id.alias("first_id"), F.col("first.start").alias("first_start"))
+
+
 class Seeds:
     """Anchor occurrences with the words beside them, as columns."""
 
@@ -298,12 +331,8 @@ def _found(uid: np.ndarray, o: np.ndarray, start: np.ndarray, end: np.ndarray, f
     return pa.table([pa.array(uid, pa.int64()), null(o), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(first_uid, pa.int64()), null(first_o), pa.array(first_start, pa.int64())], names=names)
 
 
-def _parts(spark: SparkSession) -> int:
-    return RANGES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _suffix_matches(texts: DataFrame) -> DataFrame:
-    parts = _parts(texts.sparkSession)
+def _suffix_matches(texts: DataFrame, count: int) -> DataFrame:
+    parts = 1 + count // RANGE
 
     def send(seeds: Seeds) -> Iterator[pa.RecordBatch]:
         key, uid, o, at, low, high, left, right = seeds.columns()
@@ -357,8 +386,9 @@ def _suffix_matches(texts: DataFrame) -> DataFrame:
 def _spans(docs: DataFrame, s: Scratch) -> DataFrame:
     """(uid, doc_id, start, end, sources): the repeated stretches of each document, in words."""
     rows = _rows(docs)
-    copies, lists = _repeated(rows, s)
-    found = s.table(_suffix_matches(_texts(rows, lists)))
+    copies, lists, count = _repeated(rows, s)
+    texts = s.table(_texts(rows, lists))
+    found = s.table(_suffix_matches(texts, count).unionByName(_hot_matches(texts, s)))
     w = W.partitionBy("uid").orderBy("start")
     reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
     isles = found.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("isle", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -390,15 +420,20 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated stretches are cut out of the texts, their first occurrence stays; n_chars follows where it is a column; a document that loses all its words goes. docs' own columns; untouched rows stay as they are."""
+    """Pipeline stage: repeated stretches are cut out of the texts, their first occurrence stays; n_chars follows where it is a column; a document that loses all its words goes.
+
+    Rows without a repeat stay as they are, null and empty texts and repeated
+    rows with one doc_id too; of equal texts under different ids the first
+    stays whole. docs' own columns, whatever their names; an empty table stays
+    empty.
+    """
     with Scratch(spark) as s:
-        spans = s.result(_spans(docs, s).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("__spans")))
+        spans = s.result(_spans(docs, s).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     names = docs.columns
-    key, extra = "__uid", "__spans"
-    while key in names or extra in names:
-        key, extra = key + "_", extra + "_"
-    both = docs.withColumn(key, row_key()).join(spans.select(F.col("uid").alias(key), F.col("__spans").alias(extra)), key, "left").select(*(f"`{c}`" for c in names), extra)
-    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    at, size = place(names, "text"), place(names, "n_chars") if "n_chars" in [x.lower() for x in names] else None
+    rows = opaque(docs)
+    uid = F.xxhash64(F.col(f"c{place(names, 'doc_id')}").cast("long"), F.coalesce(F.col(f"c{at}").cast("string"), F.lit("")))
+    both = rows.withColumn("uid", uid).join(spans, "uid", "left").select(*rows.columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -416,16 +451,16 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                 cols[at] = pa.array(texts, cols[at].type)
                 if size is not None:
                     cols[size] = pa.array(sizes, cols[size].type)
-            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(names))]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(run, rows.schema).toDF(*names)
 
 
 # -- seed and extend
 
 
-def _seed_matches(texts: DataFrame) -> DataFrame:
-    parts = _parts(texts.sparkSession)
+def _seed_matches(texts: DataFrame, count: int) -> DataFrame:
+    parts = 1 + count // RANGE
     cols = ["key", "uid", "o", "at", "low", "high", "left", "right"]
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,26 +502,34 @@ def _seed_matches(texts: DataFrame) -> DataFrame:
 
 
 def _extended(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """The matches, each as far both ways as the two texts are equal; what becomes one match counts once."""
-    pair = ["uid", "first_uid", "doc_id", "first_id"]
-    lists = found.groupBy(*pair).agg(F.collect_list(F.struct("start", "end", "diagonal")).alias("matches"))
-    both = lists.join(rows.select("uid", "text"), "uid").join(rows.select(F.col("uid").alias("first_uid"), F.col("text").alias("first_text")), "first_uid")
+    """The matches, each as far both ways as the two texts are equal; what becomes one match counts once.
+
+    A text that many others match goes before them in one sorted stream, once
+    for each of SALT parts, and not with each of them.
+    """
+    by = ["first_uid", "salt", "uid"]
+    lists = found.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALT))).groupBy(*by, "doc_id", "first_id").agg(F.collect_list(F.struct("start", "end", "diagonal")).alias("matches"))
+    none = lambda c: F.lit(None).cast(dict(lists.dtypes)[c]).alias(c)
+    firsts = lists.select("first_uid", "salt").distinct().join(rows.select(F.col("uid").alias("first_uid"), "text"), "first_uid").select("first_uid", "salt", none("uid"), none("doc_id"), none("first_id"), none("matches"), "text")
+    others = lists.join(rows.select("uid", "text"), "uid").select(*by, "doc_id", "first_id", "matches", "text")
+    stream = firsts.unionByName(others).repartition("first_uid", "salt").sortWithinPartitions("first_uid", "salt", F.col("matches").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, b = None, np.zeros(0, U64)
+        b = np.zeros(0, U64)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 x = batch.slice(k, 256)
                 out = []
-                for uid, first, doc_id, first_id, matches, text, first_text in zip(*(x[c].to_pylist() for c in (*pair, "matches", "text", "first_text"))):
-                    if first != last:
-                        last, b = first, Hashed(first_text).runs(1)
-                    a = b if uid == first else Hashed(text).runs(1)
-                    out += [(doc_id, first_id, *m) for m in grown(a, b, [(m["start"], m["end"], m["diagonal"]) for m in matches])]
+                for doc_id, first_id, matches, text in zip(*(x[c].to_pylist() for c in ("doc_id", "first_id", "matches", "text"))):
+                    words = Hashed(text).runs(1)
+                    if matches is None:
+                        b = words
+                    else:
+                        out += [(doc_id, first_id, *m) for m in grown(words, b, [(m["start"], m["end"], m["diagonal"]) for m in matches])]
                 cols = list(zip(*out)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "first_id", "start", "end", "diagonal"])
 
-    return both.mapInArrow(run, "doc_id long, first_id long, start long, end long, diagonal long")
+    return stream.mapInArrow(run, "doc_id long, first_id long, start long, end long, diagonal long")
 
 
 def grown(a: np.ndarray, b: np.ndarray, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -513,9 +556,9 @@ def maximal_repeats(docs: DataFrame) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as s:
         rows = _rows(docs)
-        copies, lists = _repeated(rows, s)
-        texts = _texts(rows, lists)
-        found = _seed_matches(texts).withColumn("diagonal", F.col("start") - F.col("first_start"))
+        copies, lists, count = _repeated(rows, s)
+        texts = s.table(_texts(rows, lists))
+        found = _seed_matches(texts, count).unionByName(_hot_matches(texts, s)).withColumn("diagonal", F.col("start") - F.col("first_start"))
         by = ["uid", "first_uid", "diagonal"]
         w = W.partitionBy(*by).orderBy("start")
         reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))

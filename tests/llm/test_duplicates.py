@@ -275,3 +275,28 @@ def test_loser_tree_and_front_coding():
     merged = [runs[a][b] for a, b in order]
     assert merged == sorted(x for r in runs for x in r)
     assert lcps[1:] == [repeats.common(a, b) for a, b in zip(merged, merged[1:])]
+
+
+@pytest.mark.parametrize("hot", [1, 8])
+def test_anchors_of_many_occurrences_give_the_same_rows(spark, passages, monkeypatch, hot):
+    """Anchors beyond HOT are settled window by window; ranges and their number change nothing either."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "RANGE", 10)
+    df = frame(spark, passages)
+    cold = lambda f: sorted(f(df).collect(), key=str)
+    got = cold(repeats.repeated_spans), cold(repeats.maximal_repeats)
+    monkeypatch.setattr(repeats, "HOT", 10**9)
+    assert got == (cold(repeats.repeated_spans), cold(repeats.maximal_repeats))
+    assert len(got[0]) > 20
+
+
+def test_one_passage_in_thousands_of_documents(spark):
+    rng = random.Random(31)
+    shared = prose(rng, 55)
+    rows = [(i, f"{prose(rng, 3)} {shared} {prose(rng, 3)}") for i in range(repeats.HOT // 8)]
+    old, repeats.HOT = repeats.HOT, repeats.HOT // 20
+    try:
+        got = repeats.repeated_spans(frame(spark, rows)).collect()
+    finally:
+        repeats.HOT = old
+    assert {(r.doc_id, r.start_word, r.end_word, tuple(r.source_ids)) for r in got} == {(i, 3, 58, (0,)) for i in range(1, len(rows))}
