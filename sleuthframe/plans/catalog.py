@@ -146,21 +146,21 @@ def constant_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.constant(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag", 2)
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and year(o_orderdate) = 1996)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def customers_without_urgent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urgent = table(spark, sf_dir, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.year("o_orderdate") == 1996)).select(F.col("o_custkey").alias("c_custkey"))
+    urgent = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("c_custkey"))
     return core.unreferenced(table(spark, sf_dir, "customer").select("c_custkey"), (urgent, ["c_custkey"]))
 
 
-@query("select p_partkey from part where p_partkey in (select l_partkey from lineitem where l_returnflag = 'R' and year(l_shipdate) = 1996 group by l_partkey having count(*) = 1)")
+@query("select p_partkey from part where p_partkey in (select l_partkey from lineitem where l_returnflag = 'R' group by l_partkey having count(*) = 1)")
 def parts_returned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uses = table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "R") & (F.year("l_shipdate") == 1996)).select(F.col("l_partkey").alias("p_partkey"))
+    uses = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("p_partkey"))
     return core.referenced_once(table(spark, sf_dir, "part").select("p_partkey"), uses, ["p_partkey"])
 
 
-@query("with u as (select l_partkey, count(*) as uses, bool_and(l_linenumber <= 4) as near from lineitem where l_returnflag = 'R' and year(l_shipdate) = 1996 group by 1) select p_partkey, 1::int as home, uses from part join u on l_partkey = p_partkey where uses >= 2 and near")
+@query("with u as (select l_partkey, count(*) as uses, bool_and(l_linenumber <= 4) as near from lineitem where l_returnflag = 'R' group by 1) select p_partkey, 1::int as home, uses from part join u on l_partkey = p_partkey where uses >= 2 and near")
 def used_at_home_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uses = table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "R") & (F.year("l_shipdate") == 1996)).select(F.col("l_partkey").alias("p_partkey"), (F.col("l_linenumber") <= 4).cast("int").alias("user"))
+    uses = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_linenumber") <= 4).cast("int").alias("user"))
     return more.kept_home(table(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("home")), uses, "p_partkey", "home", "user", 2)
 
 
@@ -175,23 +175,24 @@ def brand_clumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.clumps(rows, "l_orderkey", "p_brand", 3, 3)
 
 
-@query("with a as (select distinct l_suppkey from lineitem where l_shipdate >= timestamp '1996-01-01' and l_shipdate < timestamp '1996-01-08'), m as (select s_nationkey, s_suppkey, count(*) over (partition by s_nationkey) as peers, count(l_suppkey) over (partition by s_nationkey) as active, l_suppkey from supplier left join a on s_suppkey = l_suppkey) select s_nationkey, s_suppkey, peers, active from m where l_suppkey is null and peers >= 3 and active > 0 and active >= peers * 0.5")
+@query("with a as (select distinct o_custkey from orders where o_orderpriority = '1-URGENT'), m as (select c_nationkey, c_custkey, count(*) over (partition by c_nationkey) as peers, count(o_custkey) over (partition by c_nationkey) as active, o_custkey from customer left join a on c_custkey = o_custkey) select c_nationkey, c_custkey, peers, active from m where o_custkey is null and peers >= 3 and active > 0 and active >= peers * 0.5")
 def idle_among_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.col("l_shipdate")
-    active = table(spark, sf_dir, "lineitem").filter((at >= F.lit("1996-01-01").cast("timestamp")) & (at < F.lit("1996-01-08").cast("timestamp"))).select(F.col("l_suppkey").alias("s_suppkey"))
-    return core.inactive_peers(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", active, 3, 0.5)
+    """Customers without an urgent order in nations where most have one."""
+    active = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("c_custkey"))
+    return core.inactive_peers(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", active, 3, 0.5)
 
 
 @query(
-    f"""with d as (select path, slot - (select min(slot) from ({DAYS})) as slot from ({DAYS})), p as (select path, slot, count(*) as n from d where slot < 30 group by 1, 2),
-g as (select path, s as slot, coalesce(n, 0) as n from (select distinct path from p) cross join range(30) r(s) left join p using (path, slot))
-select path, median(n) filter (where slot < 15)::double as first, median(n) filter (where slot >= 15)::double as second, sum(n) filter (where slot >= 15)::bigint as total from (select path, slot, n from g) group by path""".replace("cross join range(30) r(s) left join p using (path, slot)", "cross join range(30) r(s) left join (select path as pp, slot as ps, n from p) on pp = path and ps = s")
+    f"""with b as (select min(slot) as lo, 1 + max(slot) - min(slot) as n from ({DAYS})), p as (select path, slot - (select lo from b) as slot, count(*) as n from ({DAYS}) group by 1, 2),
+r as (select unnest(range((select n from b))) as s), k as (select distinct path from p),
+g as (select k.path, r.s as slot, coalesce(p.n, 0) as n from k cross join r left join p on p.path = k.path and p.slot = r.s)
+select path, median(n) filter (where slot < (select n from b) // 2)::double as first, median(n) filter (where slot >= (select n from b) // 2)::double as second, sum(n) filter (where slot >= (select n from b) // 2)::bigint as total from g group by path"""
 )
 def half_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all days between the first and the last event."""
     rows = days(spark, sf_dir)
-    first = rows.agg(F.min("slot").alias("t0"))
-    rows = rows.crossJoin(F.broadcast(first)).withColumn("slot", F.col("slot") - F.col("t0")).filter("slot < 30")
-    return core.halves(rows, "path", "slot", 30)
+    low, high = rows.agg(F.min("slot"), F.max("slot")).first()
+    return core.halves(rows.withColumn("slot", F.col("slot") - F.lit(low or 0)), "path", "slot", 1 + (high or 0) - (low or 0))
 
 
 @query("select page_id, prefix from pages join (values ('http://blog.'), ('https://www.'), ('http://m.'), ('https://')) p(prefix) on starts_with(url, prefix)")
@@ -252,14 +253,14 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- after the checks
 
-FOUND = "select 'f' || l_suppkey as file, l_linenumber as line, 'check-' || l_linenumber as \"check\", case when l_returnflag = 'R' then 'high' when l_returnflag = 'A' then 'medium' else 'low' end as severity, l_orderkey * 10 + l_linenumber as seq, l_linenumber as check_ord from lineitem where l_quantity >= 49"
+FOUND = "select 'f' || l_suppkey as file, l_linenumber as line, 'check-' || l_linenumber as \"check\", case when l_returnflag = 'R' then 'high' when l_returnflag = 'A' then 'medium' else 'low' end as severity, l_orderkey * 10 + l_linenumber as seq, l_linenumber as check_ord from lineitem"
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as findings."""
     n = F.col("l_linenumber")
     severity = F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "medium").otherwise("low")
-    return table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("file"), n.alias("line"), F.concat(F.lit("check-"), n.cast("string")).alias("check"), severity.alias("severity"), (F.col("l_orderkey") * 10 + n).alias("seq"), n.alias("check_ord"))
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("file"), n.alias("line"), F.concat(F.lit("check-"), n.cast("string")).alias("check"), severity.alias("severity"), (F.col("l_orderkey") * 10 + n).alias("seq"), n.alias("check_ord"))
 
 
 @query(f"with f as (select *, count(*) over (partition by \"check\") as hits from ({FOUND})) select file, line, \"check\", severity, seq, hits from f order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, hits, check_ord, seq limit 10")
