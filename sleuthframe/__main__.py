@@ -1,4 +1,4 @@
-"""Command line: ``python -m sleuthframe analyze [TARGETS]`` and ``git-history``."""
+"""Command line: ``python -m sleuthframe analyze [TARGETS]``, ``git-history [TARGET]`` and ``git-history reviewed PATH...``."""
 
 from __future__ import annotations
 
@@ -11,15 +11,17 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import config
+from . import __version__, config
 from .cluster import ship
 from .operators import ranking
 from .plans import code, history
+from .plans.about import ABOUT
 from .sources import repository as repo
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("sleuthframe")
+    p.add_argument("--version", action="version", version=f"sleuthframe {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("analyze", "git-history"):
         s = sub.add_parser(name)
@@ -32,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--list-checks", action="store_true")
         s.add_argument("--more-please", "--all", dest="all", action="store_true")
         s.add_argument("--verbose", action="store_true")
+        s.add_argument("--no-context", action="store_true", help="leave out the notes on how to read the findings")
         if name == "analyze":
             s.add_argument("--diff")
         else:
@@ -60,13 +63,20 @@ def merged(a: argparse.Namespace, settings: dict[str, Any]) -> argparse.Namespac
     return a
 
 
-def report(found: DataFrame, files: int, summary: bool, top: int) -> tuple[str, int]:
+#: Shown above the findings, unless --no-context is given.
+NOTES = {
+    "analyze": "Messages name what other files hold: callers, readers, places. Follow those before changing a signature, and look for names used as text before deleting one.",
+    "git-history": "History shows where to look, not what is wrong. Once a file has been looked at, `git-history reviewed PATH` starts its count anew.",
+}
+
+
+def report(found: DataFrame, files: int, summary: bool, top: int, note: str = "") -> tuple[str, int]:
     """The text of a report and its number of findings; hotspots are those of the findings shown."""
     found = found.cache()
     total = found.count()
     shown = ranking.ranked(found, top) if top and total > top else found.orderBy("check_ord", "seq")
     rows = shown.collect()
-    lines = [f"Parsed {files} Python files", ""]
+    lines = [f"Parsed {files} Python files", "", *([note, ""] if note and total else [])]
     by: dict[str, set[str]] = {}
     for r in rows:
         by.setdefault(r.file, set()).add(r.check)
@@ -98,8 +108,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     every = [*code.CHECKS, *history.CHECKS]
     mine = code.CHECKS if a.command == "analyze" else history.CHECKS
     if a.list_checks:
-        print("\n".join(f"{n:<30} [{s}]" for n, (_, s) in mine.items()))
+        tag = "code" if a.command == "analyze" else "history"
+        print("\n".join(f"{n:<30} [{s:<6}] [{tag}] {ABOUT[n]}" for n, (_, s) in mine.items()))
         return 0
+    if a.command == "git-history" and a.targets[0] == "reviewed":
+        return reviewed(a.targets[1:])
     roots = [Path(t) for t in a.targets]
     if odd := [r for r in roots if not r.exists()]:
         return _fail(f"{odd[0]} doesn't exist")
@@ -133,11 +146,33 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if getattr(a, "diff", None) and (lines := repo.changed(spark, roots[0], a.diff)) is not None:
         found = ranking.in_diff(found, lines)
     found = ranking.unsuppressed(found, src)
-    text, n = report(found, base.files.count(), a.summary, 0 if a.all else 10)
+    text, n = report(found, base.files.count(), a.summary, 0 if a.all else 10, "" if a.no_context else NOTES[a.command])
     print(text)
     return int(n > 0)
 
 
+def reviewed(targets: list[str]) -> int:
+    """An empty commit whose body marks the files, those under folders too, as reviewed."""
+    if not targets:
+        return _fail("reviewed needs a file or folder")
+    paths: list[str] = []
+    for t in targets:
+        if not Path(t).exists():
+            return _fail(f"{t} doesn't exist")
+        own = sorted(map(str, Path(t).rglob("*.py"))) if Path(t).is_dir() else [t]
+        if not own:
+            print(f"Warning: no Python file in {t}", file=sys.stderr)
+        paths += own
+    if not paths:
+        return _fail("no file to mark")
+    try:
+        repo.commit_reviewed(Path.cwd(), paths)
+    except repo.NotARepository as problem:
+        return _fail(str(problem))
+    print(f"Marked {len(paths)} file(s) as reviewed")
+    return 0
+
+
 def reviewed_now(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Marks for files, to append to a table of reviews."""
     return repo.mark_reviewed(spark.createDataFrame([], "path string, ts timestamp"), paths, datetime.now(UTC))

@@ -7,6 +7,7 @@ driver otherwise.
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from datetime import datetime
@@ -66,8 +67,6 @@ def excluded(path: str, patterns: list[str]) -> bool:
 
 def files(spark: SparkSession, roots: list[Path], exclude: list[str] | None = None) -> DataFrame:
     """FILES under the roots, with paths relative to the one root or to what all have in common; of equal paths the last root's counts."""
-    import os
-
     base = roots[0] if not roots[1:] else Path(os.path.commonpath([str(r.resolve()) for r in roots]))
     found: dict[str, Path] = {}
     for r in roots:
@@ -164,5 +163,14 @@ def log(spark: SparkSession, root: Path, days: int) -> dict[str, DataFrame]:
 
 
 def mark_reviewed(reviews: DataFrame, paths: list[str], ts: datetime) -> DataFrame:
-    """The reviews with these files marked; git's history is never written."""
+    """The reviews with these files marked, as a table."""
     return reviews.unionByName(reviews.sparkSession.createDataFrame([(p, ts) for p in paths], "path string, ts timestamp"))
+
+
+def commit_reviewed(root: Path, paths: list[str]) -> None:
+    """An empty commit that marks files, by their paths from the top of the repository."""
+    at = top(root)
+    named = [os.path.relpath(Path(p).resolve(), at.resolve()) for p in paths]
+    subject = f"Mark {named[0] if len(named) == 1 else f'{len(named)} files'} as reviewed"
+    if _git(at, "commit", "--allow-empty", "-m", subject, "-m", "\n".join(f"{REVIEW} {n}" for n in named)) is None:
+        raise NotARepository(f"git can't commit in {at}")

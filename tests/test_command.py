@@ -95,6 +95,32 @@ def test_git_history(spark, project, capsys):
     assert log["numstat"].filter("path = 'a.py'").count() == 5
 
 
+def test_reviewed(spark, project, capsys, monkeypatch):
+    monkeypatch.chdir(project)
+    for k in ("user.name", "user.email"):
+        subprocess.run(["git", "config", k, "ann@x"], check=True)
+    (project / "pkg").mkdir()
+    (project / "pkg" / "c.py").write_text("x = 1\n")
+    (project / "empty").mkdir()
+    assert cli.main(["git-history", "reviewed"]) == 1 and cli.main(["git-history", "reviewed", "none.py"]) == 1 and cli.main(["git-history", "reviewed", "empty"]) == 1
+    assert "doesn't exist" in capsys.readouterr().err
+    assert cli.main(["git-history", "reviewed", "a.py", "pkg"]) == 0 and "Marked 2 file(s)" in capsys.readouterr().out
+    assert {r.path for r in repo.log(spark, project, 180)["reviews"].collect()} == {"a.py", "b.py", "pkg/c.py"}
+    assert cli.main(["git-history", str(project), "--check", "bug-magnet"], spark) == 0
+    assert cli.main(["git-history", str(project), "--check", "bug-magnet", "--ignore-reviewed", "--no-context"], spark) == 1
+    out = capsys.readouterr().out
+    assert "a.py — 4 of 5 commits" in out and cli.NOTES["git-history"] not in out
+
+
+def test_version_and_list(capsys):
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    assert capsys.readouterr().out.startswith("sleuthframe ")
+    assert cli.main(["git-history", "--list-checks"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 17 and all("[history]" in x and len(x) > 60 for x in lines)
+
+
 def test_no_repository(spark, tmp_path):
     (tmp_path / "venv").mkdir()
     (tmp_path / "venv" / "x.py").write_text("")
