@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sleuthframe.cluster import ship
+from sleuthframe.cluster import remove, ship
 from sleuthframe.llm import bpe, contamination, language_id, near_dup, repeats
 from sleuthframe.llm.common import shared_dir
 
@@ -21,12 +21,12 @@ STAGES: list[tuple[str, Stage]] = [
     ("BPE encoding", bpe.encode_stage),
 ]
 
-#: Classifier, near-duplicate search and tokenizer are beyond SQL; tests hold the stages against brute force.
+#: Classifier, near-duplicate search and tokenizer are beyond SQL; each stage's operator has a test against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written to the shared folder and read as the next one's input."""
+    """All stages over the documents; each result is written to the shared folder, read as the next one's input and then deleted. The last one stays, as the rows are read from it."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -35,4 +35,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{base}/{k}"
         df.write.parquet(path)
         docs = spark.read.schema(df.schema).parquet(path)
+        if k:
+            remove(spark, f"{base}/{k - 1}")
     return docs
