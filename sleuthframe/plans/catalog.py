@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import Scratch
 from ..functions import messages, paths
 from ..operators import code as more
 from ..operators import core, ranking
@@ -43,12 +44,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _code(check: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = code.Code(code.extract(samples.code_base(table(spark, sf_dir, "supplier"), check).withColumn("file_ord", F.lit(0))).cache())
-    return code.run(base, [check]).select("file", "line", "check", "severity")
+    with Scratch(spark) as s:
+        base = code.Code(s.table(code.extract(samples.code_base(table(spark, sf_dir, "supplier"), check).withColumn("file_ord", F.lit(0)))))
+        return s.result(code.run(base, [check]).select("file", "line", "check", "severity"))
 
 
 def _code_in_order(check: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.run(code.Code.read(samples.code_base(table(spark, sf_dir, "supplier"), check)), [check]).select("file", "line", "check", "severity")
+    with Scratch(spark) as s:
+        base = code.Code.read(samples.code_base(table(spark, sf_dir, "supplier"), check), f"{s.at}/facts")
+        return s.result(code.run(base, [check]).select("file", "line", "check", "severity"))
 
 
 def _history(check: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +208,6 @@ def url_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select n_nationkey::bigint as start, unnest([n_nationkey]) as \"end\" from nation where false union select a.n_nationkey::bigint, b.n_nationkey::bigint from nation a join nation b on a.n_nationkey % 5 = b.n_nationkey % 5 and b.n_nationkey >= a.n_nationkey")
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations reached from each by steps of five."""
-    from ..cluster import Scratch
-
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     edges = n.join(n.select(F.col("k").alias("to")), F.col("to") == F.col("k") + 5).select(F.col("k").alias("from"), "to")
     with Scratch(spark) as s:

@@ -122,9 +122,10 @@ def shared_state(c: Code) -> DataFrame:
     mutable = c("mutable", "name", F.col("path").alias("home"), F.col("line").alias("home_line"), F.struct("file_ord", "ord").alias("o"))
     first = mutable.groupBy("name").agg(F.min_by(F.struct("home", "home_line"), "o").alias("d"), F.collect_set("home").alias("homes"))
     taken = c("accessible", "path", F.col("name").alias("as"), F.col("x").alias("name")).join(mutable.select("name", "home"), "name").filter("home <> path").select("path", F.col("as").alias("name"))
-    # The first file, in order, whose path ends with the imported one.
-    ends = c.files.select("file_ord", F.col("path").alias("source"), F.explode(F.expr("transform(sequence(1, length(path)), i -> substring(path, i))")).alias("tail"))
-    stars = c("star", "path", F.col("name").alias("tail")).distinct().join(ends, "tail").groupBy("path", "tail").agg(F.min_by("source", "file_ord").alias("source"))
+    # The first file, in order, whose path ends with the imported one; they meet by the ends of file names.
+    last = lambda col: F.substring_index(col, "/", -1)
+    ends = c.files.select("file_ord", F.col("path").alias("source"), last("path").alias("base")).select("file_ord", "source", F.explode(F.expr("transform(sequence(1, length(base)), i -> substring(base, i))")).alias("end"))
+    stars = c("star", "path", F.col("name").alias("tail")).distinct().withColumn("end", last("tail")).join(ends, "end").filter(F.col("source").endswith(F.col("tail"))).groupBy("path", "tail").agg(F.min_by("source", "file_ord").alias("source"))
     starred = stars.join(c("top_name", F.col("path").alias("source"), "name"), "source").join(first.select("name"), "name", "left_semi").select("path", "name")
     reach = taken.unionByName(starred).distinct()
     got = c("mutated", "path", "name", "line", "ord", "flag")
