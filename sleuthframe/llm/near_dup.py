@@ -22,8 +22,8 @@ one plan for each partition of queries, and far partitions cost as much as near
 
 All members of a bucket are compared. Small queries (up to ALL shingles) are
 compared with patterns, the distinct parts that larger sets have of the small
-queries' vocabulary: hundreds of thousands of documents with one boilerplate
-sentence are one pattern. Others are compared set by set, in cells that large
+queries' keys: documents that share a boilerplate sentence, and nothing else
+that is in a small document, are one pattern. Others are compared set by set, in cells that large
 groups are split into; copies are compared once, as their class.
 """
 
@@ -38,16 +38,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import remove
 from .common import U64, Hashed, Scratch, distinct, mix, opaque, picked, place, row_key, sized, table
 
 SHINGLE = 5
 THRESHOLD = 0.6
 RECALL = 0.97
-#: Least hashes that a query is looked up by; all of its shingles, if they are no more than ALL.
-BANDS = 32
+#: Least hashes that a query is looked up by, from a size on: the more there are, the more full buckets it leaves out, and
+#: the larger its set, the fewer shingles of others are in the index for one of them. All of its shingles, if no more than ALL.
+BANDS = {0: 16, 512: 24, 2048: 32}
 ALL = 64
-#: Bits of the filter of bands, for each band and at most; beyond the latter it only lets more shingles through to the index.
-FILTER_BITS = 16
+#: Bits of the filter of bands, for each document and at most; beyond the latter it only lets more shingles through to the index.
+FILTER_BITS = 512
 FILTER_MOST = 30
 #: Pairs compared in one cell, and shingles held in it; cells of more are split into a grid.
 CELL = 50_000
@@ -68,13 +70,13 @@ def chance(n: int, good: int, drawn: int, hits: int) -> float:
 
 def plan(p: int) -> tuple[int, int]:
     """(bands, hits) of the partition of sizes from 2**p to 2**(p+1) - 1: as many hits as keep RECALL for its least and its largest sets."""
-    hits = BANDS
+    bands = hits = max(b for n, b in BANDS.items() if n <= 2**p)
     for n in (2**p, 2 ** (p + 1) - 1):
         n = min(n, 1 << 14)  # the same to four digits from here on
         if n > ALL:
-            while chance(n, math.ceil(THRESHOLD * n), BANDS, hits) < RECALL:
+            while chance(n, math.ceil(THRESHOLD * n), bands, hits) < RECALL:
                 hits -= 1
-    return BANDS, hits
+    return bands, hits
 
 
 PLAN = [plan(p) for p in range(SIZES)]
@@ -118,7 +120,7 @@ def _sets(docs: DataFrame, s: Scratch) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
                 got = [shingle_set(t) for t in x["text"].to_pylist()]
-                cut = [len(g) if len(g) <= ALL else BANDS for g in got]
+                cut = [len(g) if len(g) <= ALL else PLAN[len(g).bit_length() - 1][0] for g in got]
                 cols = [pa.array([set_key(g) for g in got], pa.int64()), pa.array([len(g) for g in got], pa.int32()), pa.array([packed(g[:m]) for g, m in zip(got, cut)], pa.binary()), pa.array([packed(g[m:]) for g, m in zip(got, cut)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], *cols], ["doc_id", "h", "cid", "n", "low", "rest"])
 
@@ -128,7 +130,7 @@ def _sets(docs: DataFrame, s: Scratch) -> DataFrame:
 
 def _filter(sets: DataFrame) -> Broadcast:
     """A bit for two hashes of each band of any document: an array of at most 2**FILTER_MOST bits."""
-    bits = min(FILTER_MOST, max(19, math.ceil(math.log2(max(1, sets.count()) * BANDS * FILTER_BITS))))
+    bits = min(FILTER_MOST, max(19, math.ceil(math.log2(max(1, sets.count()) * FILTER_BITS))))
     block = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,17 +207,20 @@ def _order(prefix: str = "") -> list[str]:
 
 
 def _small(queries: DataFrame, buckets: DataFrame, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of queries of up to ALL shingles the containers (cid, parent, containment, m), and (cid, links) of all that is linked to them, compared by patterns."""
-    asked = s.table(queries.filter(F.col("n") <= ALL).select("cid", "n", F.explode("keys.key").alias("key")))
-    words = asked.select("key").distinct()
-    has = buckets.join(words, "key", "left_semi").groupBy("cid", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    """Of queries of up to ALL shingles the containers (cid, parent, containment, m), and (cid, links) of all that is linked to them, compared by patterns: what a set has of all small queries' keys."""
+    asked = s.table(queries.filter(F.col("n") <= ALL).select("cid", "n", F.col("keys.key").alias("keys"), needed(F.col("n")).alias("need")))
+    words = asked.select(F.explode("keys").alias("key")).distinct()
+    has = buckets.select("cid", "n", "key").join(words, "key", "left_semi").groupBy("cid", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     # Sizes beyond any query's count as one.
     has = has.withColumn("size", F.least("n", F.lit(ALL + 1))).withColumn("pattern", F.xxhash64("keys", "size"))
     member = s.table(has.join(classes.select("cid", *_order()), "cid"))
     lead = F.min(F.struct((-F.col("n")).alias("less"), *_order(), "cid"))
     kinds = s.table(member.groupBy("pattern", "size").agg(F.first("keys").alias("keys"), F.count("*").alias("members"), lead.alias("lead")))
-    met = asked.join(kinds.select("pattern", "size", F.explode("keys").alias("key")), "key").filter("size >= n").groupBy("cid", "n", "pattern", "size").agg(F.count("*").alias("common"))
-    met = met.filter(F.col("common") >= needed(F.col("n"))).join(kinds.select("pattern", "members", "lead"), "pattern")
+    # As with larger queries, the need - 1 fullest buckets are left out; what is met in the others is counted over all keys.
+    keys = asked.select("cid", "n", F.explode(F.slice("keys", F.col("need"), F.lit(ALL))).alias("key"))
+    met = keys.join(kinds.select("pattern", "size", F.explode("keys").alias("key")), "key").filter("size >= n").select("cid", "pattern").distinct()
+    met = met.join(sized(asked.withColumnRenamed("keys", "mine"), 32 + 8 * ALL), "cid").join(sized(kinds, 256), "pattern")
+    met = met.withColumn("common", F.size(F.array_intersect("mine", "keys"))).filter("common >= need").drop("mine", "keys", "need")
     own = member.select("cid", F.col("pattern").alias("own"), F.struct(*_order()).alias("o"))
     met = s.table(met.join(own, "cid").withColumn("others", F.col("members") - (F.col("own") == F.col("pattern")).cast("long")).filter("others > 0"))
     lead_order = F.struct(*(F.col(f"lead.{c}").alias(c) for c in _order()))
@@ -227,41 +232,56 @@ def _small(queries: DataFrame, buckets: DataFrame, classes: DataFrame, s: Scratc
     return chosen, links
 
 
-def _pairs(queries: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(cid, n, x): the larger queries, each with every set at least as large that is in one of its buckets but for the hits - 1 fullest."""
-    kept = queries.filter(F.col("n") > ALL).select("cid", "n", F.explode(F.slice("keys", needed(F.col("n")), BANDS)).alias("k")).select("cid", "n", "k.key")
+def _looked_up(queries: DataFrame, s: Scratch) -> DataFrame:
+    """(cid, n, key): the larger queries with their buckets but for the hits - 1 fullest."""
+    return s.table(queries.filter(F.col("n") > ALL).select("cid", "n", F.explode(F.slice("keys", needed(F.col("n")), max(BANDS.values()))).alias("k")).select("cid", "n", "k.key"))
+
+
+def _pairs(asked: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(cid, x): each larger query with every set at least as large that is in one of its buckets."""
     members = buckets.filter(F.col("n") > ALL).select("key", F.col("cid").alias("x"), F.col("n").alias("xn"))
-    return kept.join(members, "key").filter("xn >= n and x <> cid").select("cid", "n", "x", "xn").distinct()
+    return asked.join(members, "key").filter("xn >= n and x <> cid").select("cid", "x").distinct()
+
+
+def _words(asked: DataFrame, buckets: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
+    """(cid, n, least, words): of all classes in the buckets asked for the least hash, and 32 bits of each shingle, sorted; two sets of n agree by chance in n * n / 2**32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                x = b.slice(i, 256)
+                got = [unpacked(low, rest) for low, rest in zip(x["low"].to_pylist(), x["rest"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([x["cid"], x["n"], pa.array([int(g[0]) for g in got], pa.int64()), pa.array([np.sort(g.astype("<u4")).tobytes() for g in got], pa.binary())], ["cid", "n", "least", "words"])
+
+    ids = s.table(buckets.filter(F.col("n") > ALL).join(asked.select("key").distinct(), "key", "left_semi").select("cid").distinct())
+    own = sets.select("cid", "n", "low", "rest").join(sized(ids, 8), "cid", "left_semi").mapInArrow(run, "cid long, n int, least long, words binary")
+    return s.table(own.dropDuplicates(["cid"]), "none")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, s: Scratch) -> DataFrame:
     """(cid, x, common) of the pairs that reach THRESHOLD.
 
     Pairs meet in cells by the least hash of the larger set, which near copies
     share, so that a set travels once for each cell and not for each pair.
     """
-    ids = pairs.select(F.explode(F.array("cid", "x")).alias("cid")).distinct()
-    texts = s.table(sets.join(ids, "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "n", "low", "rest", F.xxhash64(F.substring("low", 1, 6)).alias("least")), "none")
-    cells = pairs.join(texts.select(F.col("cid").alias("x"), F.col("least").alias("cell")), "x")
+    cells = pairs.join(texts.select(F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("least").alias("cell")), "x")
     high = cells.groupBy("cell", "x").agg(F.first("xn").alias("xn"), F.count("*").alias("pairs")).groupBy("cell").agg(F.sum("xn").alias("words"), F.sum("pairs").alias("pairs"))
     kx = F.ceil(F.col("words") / CELL_WORDS)
     wide = high.select("cell", kx.alias("kx"), F.ceil(F.col("pairs") / (kx * CELL)).alias("kq"))
     part = lambda c, k: F.pmod(F.xxhash64(c), F.col(k))
     cells = s.table(cells.join(wide, "cell").select("cid", "x", "cell", (part("cid", "kq") * F.col("kx") + part("x", "kx")).alias("sub")))
-    own = texts.select("cid", "low", "rest")
-    none = F.lit(None).cast("array<long>")
-    larger = cells.select("cell", "sub", F.col("x").alias("cid")).distinct().join(own, "cid").select("cell", "sub", "cid", none.alias("xs"), "low", "rest")
-    asking = cells.groupBy("cell", "sub", "cid").agg(F.collect_list("x").alias("xs")).join(own, "cid").select("cell", "sub", "cid", "xs", "low", "rest")
-    stream = larger.unionByName(asking).repartition("cell", "sub").sortWithinPartitions("cell", "sub", F.col("xs").isNotNull())
+    larger = cells.select("cell", "sub", F.col("x").alias("cid")).distinct().withColumn("xs", F.lit(None).cast("array<long>"))
+    asking = cells.groupBy("cell", "sub", "cid").agg(F.collect_list("x").alias("xs")).select("cell", "sub", "cid", "xs")
+    stream = larger.unionByName(asking).join(texts.select("cid", "words"), "cid").repartition("cell", "sub").sortWithinPartitions("cell", "sub", F.col("xs").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for b in batches:
             out: list[tuple[int, int, int]] = []
-            for cell, sub, cid, xs, low, rest in zip(*(b[c].to_pylist() for c in ("cell", "sub", "cid", "xs", "low", "rest"))):
+            for cell, sub, cid, xs, words in zip(*(b[c].to_pylist() for c in ("cell", "sub", "cid", "xs", "words"))):
                 if now != (cell, sub):
                     now, held = (cell, sub), {}
-                words = unpacked(low, rest)
+                words = np.frombuffer(words, "<u4")
                 if xs is None:
                     held[cid] = words
                     continue
@@ -278,9 +298,13 @@ def _compared(pairs: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
     return s.table(stream.mapInArrow(run, "cid long, x long, common long"))
 
 
-def _large(queries: DataFrame, buckets: DataFrame, sets: DataFrame, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """As _small, of queries of more than ALL shingles, compared set by set."""
-    found = _compared(s.table(_pairs(queries, buckets)), sets, s)
+def _large(queries: DataFrame, buckets: DataFrame, sets: DataFrame, whole: str, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """As _small, of queries of more than ALL shingles, compared set by set; deletes the table of whole sets, in the folder `whole`."""
+    asked = _looked_up(queries, s)
+    texts = _words(asked, buckets, sets, s)
+    # Nobody reads the table of all sets any more.
+    remove(s.spark, whole)
+    found = _compared(s.table(_pairs(asked, buckets)), texts, s)
     mine = classes.select("cid", "n", F.struct(*_order()).alias("o"))
     both = found.join(mine, "cid").join(mine.select(F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("o").alias("xo")), "x")
     swap = (F.col("xn") == F.col("n")) & (F.col("xo") > F.col("o"))
@@ -304,15 +328,17 @@ def _roots(forest: DataFrame, s: Scratch) -> DataFrame:
 
 
 def _search(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(sets, classes, forest, links): one class for each distinct set, the container chosen for each redundant class, and counts of linked classes to be summed by cid."""
+    """(documents, classes, forest, links): (doc_id, late, h, cid, n) of each row, one class for each distinct set, the container chosen for each redundant class, and counts of linked classes to be summed by cid."""
     sets = _sets(docs, s)
+    whole = f"{s.at}/{s.n}"
+    heads = s.table(sets.select("doc_id", "late", "h", "cid", "n"))
     first = F.min(F.struct("late", F.col("doc_id").alias("id"), "h"))
-    classes = s.table(sets.filter("n > 0").groupBy("cid").agg(first.alias("first"), F.first("n").alias("n"), (F.min("h") < F.max("h")).alias("copied")).select("cid", "n", "copied", "first.*"))
+    classes = s.table(heads.filter("n > 0").groupBy("cid").agg(first.alias("first"), F.first("n").alias("n"), (F.min("h") < F.max("h")).alias("copied")).select("cid", "n", "copied", "first.*"))
     buckets = _buckets(sets, s)
     queries = _queries(buckets, s)
     small, few = _small(queries, buckets, classes, s)
-    large, many = _large(queries, buckets, sets, classes, s)
-    return sets, classes, s.table(small.unionByName(large).drop("m")), few.unionByName(many)
+    large, many = _large(queries, buckets, sets, whole, classes, s)
+    return heads, classes, s.table(small.unionByName(large).drop("m")), few.unionByName(many)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -327,14 +353,14 @@ def groups(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     with Scratch(docs.sparkSession) as s:
-        sets, classes, forest, links = _search(docs, s)
+        heads, classes, forest, links = _search(docs, s)
         roots = _roots(forest, s)
         counts = links.groupBy("cid").agg(F.sum("links").alias("n_links"))
         name = lambda c: classes.select(F.col("cid").alias(c), F.col("id").alias(f"{c}_id"))
         known = classes.join(roots, "cid", "left").filter("copied or root is not null").join(counts, "cid", "left")
         known = known.join(name("parent"), "parent", "left").join(name("root"), "root", "left")
         known = s.table(known.select("cid", "id", F.col("h").alias("first"), F.col("parent_id"), F.col("root").isNotNull().alias("below"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root_id")).alias("kept_id"), "containment", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-        rows = sets.filter("n > 0").select("doc_id", "h", "cid").distinct().join(known, "cid")
+        rows = heads.filter("n > 0").select("doc_id", "h", "cid").distinct().join(known, "cid")
         own = F.col("h") == F.col("first")
         rows = rows.filter(~own | F.col("below"))
         return s.result(rows.select("doc_id", "kept_id", F.when(own, F.col("parent_id")).otherwise(F.col("id")).alias("container_id"), F.when(own, F.col("containment")).otherwise(F.lit(1.0)).alias("containment"), "n_links"))
@@ -348,11 +374,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     columns, whatever their names; an empty table stays empty.
     """
     with Scratch(spark) as s:
-        sets, classes, forest, _ = _search(docs, s)
-        copies = sets.filter("n > 0").select("cid", "h", F.col("doc_id").alias("id")).join(classes.filter("copied").select("cid", F.col("h").alias("first")), "cid").filter("h <> first").select("id", "h")
+        heads, classes, forest, _ = _search(docs, s)
+        copies = heads.filter("n > 0").select("cid", "h", F.col("doc_id").alias("id")).join(classes.filter("copied").select("cid", F.col("h").alias("first")), "cid").filter("h <> first").select("id", "h")
         below = forest.join(classes, "cid").select("id", "h")
         gone = s.result(copies.unionByName(below).distinct())
-        twice = s.result(sets.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h"))
+        twice = s.result(heads.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h"))
     names = docs.columns
     at = [F.col(f"c{place(names, c)}") for c in ("doc_id", "text")]
     rows = opaque(docs).withColumn("h", F.xxhash64(at[0].cast("long"), F.coalesce(at[1].cast("string"), F.lit(""))))
