@@ -140,7 +140,7 @@ def picked(docs: DataFrame, **kinds: str) -> DataFrame:
 
 
 #: A side of at most so many bytes (rows times their width) may be broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def sized(df: DataFrame, width: int = 16) -> DataFrame:

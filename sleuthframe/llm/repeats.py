@@ -39,7 +39,7 @@ GRAM = 12
 SPAN = LENGTH - GRAM + 1
 RUN = 40_000
 #: Occurrences in a range of keys, on average: a range is merged in memory, one at a time.
-RANGE = 25_000
+RANGE = 8_000
 #: Anchors of more occurrences are settled window by window, with the same result.
 HOT = 20_000
 NULL_LAST = 2**63 - 1
