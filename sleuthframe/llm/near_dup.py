@@ -219,10 +219,11 @@ def _small(queries: DataFrame, buckets: DataFrame, classes: DataFrame, s: Scratc
     # As with larger queries, the need - 1 fullest buckets are left out; what is met in the others is counted over all keys.
     keys = asked.select("cid", "n", F.explode(F.slice("keys", F.col("need"), F.lit(ALL))).alias("key"))
     met = keys.join(kinds.select("pattern", "size", F.explode("keys").alias("key")), "key").filter("size >= n").select("cid", "pattern").distinct()
-    met = met.join(sized(asked.withColumnRenamed("keys", "mine"), 32 + 8 * ALL), "cid").join(sized(kinds, 256), "pattern")
-    met = met.withColumn("common", F.size(F.array_intersect("mine", "keys"))).filter("common >= need").drop("mine", "keys", "need")
     own = member.select("cid", F.col("pattern").alias("own"), F.struct(*_order()).alias("o"))
-    met = s.table(met.join(own, "cid").withColumn("others", F.col("members") - (F.col("own") == F.col("pattern")).cast("long")).filter("others > 0"))
+    mine = s.table(asked.withColumnRenamed("keys", "mine").join(own, "cid"))
+    met = met.join(sized(kinds, 256), "pattern").join(sized(mine, 256), "cid")
+    met = met.withColumn("common", F.size(F.array_intersect("mine", "keys"))).filter("common >= need").drop("mine", "keys", "need")
+    met = s.table(met.withColumn("others", F.col("members") - (F.col("own") == F.col("pattern")).cast("long")).filter("others > 0"))
     lead_order = F.struct(*(F.col(f"lead.{c}").alias(c) for c in _order()))
     up = met.filter((F.col("size") > F.col("n")) | (lead_order < F.col("o")))
     best = F.max_by(F.struct(F.col("lead.cid").alias("parent"), (F.col("common") / F.col("n")).alias("containment"), (-F.col("lead.less")).alias("m")), F.struct(F.col("common"), (-F.col("lead.less")).alias("m"), (-F.col("lead.late")).alias("l"), F.bitwise_not("lead.id").alias("i"), "pattern"))
@@ -233,8 +234,8 @@ def _small(queries: DataFrame, buckets: DataFrame, classes: DataFrame, s: Scratc
 
 
 def _looked_up(queries: DataFrame, s: Scratch) -> DataFrame:
-    """(cid, n, key): the larger queries with their buckets but for the hits - 1 fullest."""
-    return s.table(queries.filter(F.col("n") > ALL).select("cid", "n", F.explode(F.slice("keys", needed(F.col("n")), max(BANDS.values()))).alias("k")).select("cid", "n", "k.key"))
+    """(cid, n, key): queries with their buckets but for the hits - 1 fullest."""
+    return s.table(queries.select("cid", "n", F.explode(F.slice("keys", needed(F.col("n")), F.lit(max(ALL, *BANDS.values())))).alias("k")).select("cid", "n", "k.key"))
 
 
 def _pairs(asked: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -243,8 +244,8 @@ def _pairs(asked: DataFrame, buckets: DataFrame) -> DataFrame:
     return asked.join(members, "key").filter("xn >= n and x <> cid").select("cid", "x").distinct()
 
 
-def _words(asked: DataFrame, buckets: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
-    """(cid, n, least, words): of all classes in the buckets asked for the least hash, and 32 bits of each shingle, sorted; two sets of n agree by chance in n * n / 2**32."""
+def _words(ids: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
+    """(cid, n, least, words): of some classes the least hash, and 32 bits of each shingle, sorted; two sets of n agree by chance in n * n / 2**32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,8 +254,7 @@ def _words(asked: DataFrame, buckets: DataFrame, sets: DataFrame, s: Scratch) ->
                 got = [unpacked(low, rest) for low, rest in zip(x["low"].to_pylist(), x["rest"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([x["cid"], x["n"], pa.array([int(g[0]) for g in got], pa.int64()), pa.array([np.sort(g.astype("<u4")).tobytes() for g in got], pa.binary())], ["cid", "n", "least", "words"])
 
-    ids = s.table(buckets.filter(F.col("n") > ALL).join(asked.select("key").distinct(), "key", "left_semi").select("cid").distinct())
-    own = sets.select("cid", "n", "low", "rest").join(sized(ids, 8), "cid", "left_semi").mapInArrow(run, "cid long, n int, least long, words binary")
+    own = sets.select("cid", "n", "low", "rest").join(sized(s.table(ids), 8), "cid", "left_semi").mapInArrow(run, "cid long, n int, least long, words binary")
     return s.table(own.dropDuplicates(["cid"]), "none")
 
 
@@ -300,8 +300,9 @@ def _compared(pairs: DataFrame, texts: DataFrame, s: Scratch) -> DataFrame:
 
 def _large(queries: DataFrame, buckets: DataFrame, sets: DataFrame, whole: str, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
     """As _small, of queries of more than ALL shingles, compared set by set; deletes the table of whole sets, in the folder `whole`."""
-    asked = _looked_up(queries, s)
-    texts = _words(asked, buckets, sets, s)
+    asked = _looked_up(queries.filter(F.col("n") > ALL), s)
+    ids = buckets.filter(F.col("n") > ALL).join(asked.select("key").distinct(), "key", "left_semi").select("cid").distinct()
+    texts = _words(ids, sets, s)
     # Nobody reads the table of all sets any more.
     remove(s.spark, whole)
     found = _compared(s.table(_pairs(asked, buckets)), texts, s)
@@ -327,8 +328,19 @@ def _roots(forest: DataFrame, s: Scratch) -> DataFrame:
             return now
 
 
-def _search(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, forest, links): (doc_id, late, h, cid, n) of each row, one class for each distinct set, the container chosen for each redundant class, and counts of linked classes to be summed by cid."""
+def _contained(queries: DataFrame, buckets: DataFrame, sets: DataFrame, classes: DataFrame, s: Scratch) -> DataFrame:
+    """(cid): queries that are in the largest member of one of their buckets, the earliest of equally large ones; a largest value for each bucket, so linear work."""
+    asked = _looked_up(queries, s)
+    members = buckets.join(asked.select("key").distinct(), "key", "left_semi").select("key", "cid").join(classes.select("cid", "n", *_order()), "cid")
+    top = members.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("less"), *_order(), "cid")).alias("top"))
+    mine = classes.select("cid", F.struct((-F.col("n")).alias("less"), *_order(), "cid").alias("me"))
+    pairs = s.table(asked.select("cid", "key").join(top, "key").groupBy("cid", "top").agg(F.count("*").alias("hits")).join(mine, "cid").filter("top < me").select("cid", F.col("top.cid").alias("x")).distinct())
+    texts = _words(pairs.select(F.explode(F.array("cid", "x")).alias("cid")).distinct(), sets, s)
+    return s.table(_compared(pairs, texts, s).select("cid").distinct())
+
+
+def _search(docs: DataFrame, s: Scratch, links: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, forest, links): (doc_id, late, h, cid, n) of each row, one class for each distinct set, the container chosen for each redundant class, and counts of linked classes to be summed by cid; without links the latter is void, and a container may be null."""
     sets = _sets(docs, s)
     whole = f"{s.at}/{s.n}"
     heads = s.table(sets.select("doc_id", "late", "h", "cid", "n"))
@@ -336,9 +348,16 @@ def _search(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame, DataFram
     classes = s.table(heads.filter("n > 0").groupBy("cid").agg(first.alias("first"), F.first("n").alias("n"), (F.min("h") < F.max("h")).alias("copied")).select("cid", "n", "copied", "first.*"))
     buckets = _buckets(sets, s)
     queries = _queries(buckets, s)
+    if not links:  # whether there is a container: those found by one comparison are no queries any more
+        known = _contained(queries, buckets, sets, classes, s)
+        queries = s.table(queries.join(sized(known, 8), "cid", "left_anti"))
     small, few = _small(queries, buckets, classes, s)
     large, many = _large(queries, buckets, sets, whole, classes, s)
-    return heads, classes, s.table(small.unionByName(large).drop("m")), few.unionByName(many)
+    forest = small.unionByName(large).drop("m")
+    if not links:
+        none = F.lit(None)
+        forest = forest.unionByName(known.select("cid", none.cast("long").alias("parent"), none.cast("double").alias("containment")))
+    return heads, classes, s.table(forest), few.unionByName(many)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -374,7 +393,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     columns, whatever their names; an empty table stays empty.
     """
     with Scratch(spark) as s:
-        heads, classes, forest, _ = _search(docs, s)
+        heads, classes, forest, _ = _search(docs, s, links=False)
         copies = heads.filter("n > 0").select("cid", "h", F.col("doc_id").alias("id")).join(classes.filter("copied").select("cid", F.col("h").alias("first")), "cid").filter("h <> first").select("id", "h")
         below = forest.join(classes, "cid").select("id", "h")
         gone = s.result(copies.unionByName(below).distinct())
