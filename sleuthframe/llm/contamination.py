@@ -79,8 +79,8 @@ def choose(items: Items, docs_with: np.ndarray) -> None:
     items.seeds = both[:, 1]
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment's score and the words of text it ends before and begins at."""
+def align(item: np.ndarray, text: np.ndarray, least: float = 1) -> tuple[int, int, int]:
+    """Best local alignment's score and the words of text it ends before and begins at; the latter are 0 where the score is below `least`."""
 
     def best(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         slope = -GAP * np.arange(len(b) + 1)
@@ -96,8 +96,8 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
         return top, end
 
     score, end = best(item, text)
-    if not score:
-        return 0, 0, 0
+    if score < least:
+        return score, 0, 0
     _, back = best(item[::-1], text[:end][::-1])
     return score, end, end - back
 
@@ -166,7 +166,7 @@ def search(items: Items, text: str | None) -> list[tuple[int, float, int, int]]:
         best: tuple[float, int, int] | None = None
         for low, high in found:
             for a, b in stretches(items.numbers[i], at[low:high]):
-                score, end, start = align(items.words[i], words[low + a : low + b])
+                score, end, start = align(items.words[i], words[low + a : low + b], SCORE * MATCH * n)
                 share = score / (MATCH * n)
                 if share >= SCORE and (best is None or share > best[0]):
                     best = (share, low + a + start, low + a + end)
