@@ -349,14 +349,16 @@ def _search(docs: DataFrame, s: Scratch, links: bool = True) -> tuple[DataFrame,
     buckets = _buckets(sets, s)
     queries = _queries(buckets, s)
     if not links:  # whether there is a container: those found by one comparison are no queries any more
-        known = _contained(queries, buckets, sets, classes, s)
+        known = queries.select("cid") if queries.isEmpty() else _contained(queries, buckets, sets, classes, s)
         queries = s.table(queries.join(sized(known, 8), "cid", "left_anti"))
-    small, few = _small(queries, buckets, classes, s)
-    large, many = _large(queries, buckets, sets, whole, classes, s)
+    none = [s.spark.createDataFrame([], x) for x in ("cid long, parent long, containment double, m int", "cid long, links long")]
+    least, most = queries.agg(F.min("n"), F.max("n")).first()
+    small, few = _small(queries, buckets, classes, s) if least and least <= ALL else none
+    large, many = _large(queries, buckets, sets, whole, classes, s) if most and most > ALL else none
     forest = small.unionByName(large).drop("m")
     if not links:
-        none = F.lit(None)
-        forest = forest.unionByName(known.select("cid", none.cast("long").alias("parent"), none.cast("double").alias("containment")))
+        nil = F.lit(None)
+        forest = forest.unionByName(known.select("cid", nil.cast("long").alias("parent"), nil.cast("double").alias("containment")))
     return heads, classes, s.table(forest), few.unionByName(many)
 
 
