@@ -148,3 +148,26 @@ def test_stream(spark, tmp_path):
     q = activity(spark.readStream.schema(COMMIT).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("weeks").outputMode("complete").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.path, r.commits, r.fixes) for r in spark.sql("select * from weeks").collect()) == want
+
+
+def test_streams_of_bursts_fixes_and_reviews(spark, tmp_path):
+    from datetime import timedelta
+
+    from sleuthframe.streaming.commits import COMMIT, bursts, fixes_after_features, unreviewed
+
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    rows = [("f1", day(0), "ann", "feat: add a", ["a.py", "b.py"]), ("x1", day(3), "ann", "fix: mend a", ["a.py"]), ("x2", day(5), "bob", "fix: mend a again", ["a.py"]), ("x3", day(40), "bob", "fix: mend b", ["b.py"]), ("x4", day(41), "bob", "docs: say more", ["a.py", None]), ("x5", None, "bob", "fix: no time", ["a.py"])]
+    df = spark.createDataFrame(rows, COMMIT)
+    reviews = spark.createDataFrame([("a.py", day(4)), ("a.py", day(1))], "path string, ts timestamp")
+    plans = {"bursts": lambda d: bursts(d), "fixes": lambda d: fixes_after_features(d), "since": lambda d: bursts(unreviewed(d, reviews), least=1)}
+    want = {k: sorted(map(tuple, f(df).collect())) for k, f in plans.items()}
+    assert want["bursts"] == [("a.py", day(0), day(12), 3)]
+    assert want["fixes"] == [("a.py", "f1", "x1", day(0), day(3)), ("a.py", "f1", "x2", day(0), day(5))]
+    assert [(p, a, n) for p, a, _, n in want["since"]] == [("a.py", day(5), 1), ("a.py", day(41), 1), ("b.py", day(0), 1), ("b.py", day(40), 1)]
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    # A last commit, much later, lets the watermark pass all others.
+    spark.createDataFrame([("z", day(400), "ann", "end", ["z.py"])], COMMIT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for k, f in plans.items():
+        q = f(spark.readStream.schema(COMMIT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(f"s_{k}").outputMode("append").option("checkpointLocation", str(tmp_path / k)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert sorted(map(tuple, spark.sql(f"select * from s_{k} where path <> 'z.py'").collect())) == want[k], k
