@@ -52,8 +52,10 @@ ALL = 64
 FILTER_BITS = 512
 FILTER_MOST = 30
 #: Pairs compared in one cell, and shingles held in it; cells of more are split into a grid.
-CELL = 50_000
+CELL = 20_000_000
 CELL_WORDS = 2_000_000
+#: Numbers in the matrix of a cell; an eighth of it is counted at once.
+DENSE = 4_000_000
 SIZES = 32
 
 
@@ -217,20 +219,14 @@ def _small(queries: DataFrame, buckets: DataFrame, classes: DataFrame, s: Scratc
     lead = F.min(F.struct((-F.col("n")).alias("less"), *_order(), "cid"))
     kinds = s.table(member.groupBy("pattern", "size").agg(F.first("keys").alias("keys"), F.count("*").alias("members"), lead.alias("lead")))
     # As with larger queries, the need - 1 fullest buckets are left out; what is met in the others is counted over all keys.
-    keys = asked.select("cid", "n", F.explode(F.slice("keys", F.col("need"), F.lit(ALL))).alias("key"))
-    met = keys.join(kinds.select("pattern", "size", F.explode("keys").alias("key")), "key").filter("size >= n").select("cid", "pattern").distinct()
-    own = member.select("cid", F.col("pattern").alias("own"), F.struct(*_order()).alias("o"))
-    mine = s.table(asked.withColumnRenamed("keys", "mine").join(own, "cid"))
-    met = met.join(sized(kinds, 256), "pattern").join(sized(mine, 256), "cid")
-    met = met.withColumn("common", F.size(F.array_intersect("mine", "keys"))).filter("common >= need").drop("mine", "keys", "need")
-    met = s.table(met.withColumn("others", F.col("members") - (F.col("own") == F.col("pattern")).cast("long")).filter("others > 0"))
-    lead_order = F.struct(*(F.col(f"lead.{c}").alias(c) for c in _order()))
-    up = met.filter((F.col("size") > F.col("n")) | (lead_order < F.col("o")))
-    best = F.max_by(F.struct(F.col("lead.cid").alias("parent"), (F.col("common") / F.col("n")).alias("containment"), (-F.col("lead.less")).alias("m")), F.struct(F.col("common"), (-F.col("lead.less")).alias("m"), (-F.col("lead.late")).alias("l"), F.bitwise_not("lead.id").alias("i"), "pattern"))
-    chosen = up.groupBy("cid").agg(best.alias("b")).select("cid", "b.*")
-    below = met.filter("size > n").groupBy("pattern").agg(F.count("*").alias("links"))
-    links = met.groupBy("cid").agg(F.sum("others").alias("links")).unionByName(member.select("cid", "pattern").join(below, "pattern").select("cid", "links"))
-    return chosen, links
+    keys = s.table(asked.select("cid", "n", F.explode(F.slice("keys", F.col("need"), F.lit(ALL))).alias("key")))
+    own = member.select("cid", F.col("pattern").alias("own"), *_order())
+    mine = asked.select("cid", F.col("keys").alias("words")).join(own, "cid")
+    held = kinds.select(F.col("pattern").alias("x"), "members", (-F.col("lead.less")).alias("m"), F.col("lead.cid").alias("parent"), *(F.col(f"lead.{c}").alias(c) for c in _order()), F.col("keys").alias("words"))
+    met = _met(keys, kinds.select(F.col("pattern").alias("x"), F.col("size").alias("xn"), F.explode("keys").alias("key")), mine, held, s, both=True)
+    below = met.filter("held").groupBy(F.col("cid").alias("pattern")).agg(F.sum("links").alias("links"))
+    links = met.filter("not held").select("cid", "links").unionByName(member.select("cid", "pattern").join(below, "pattern").select("cid", "links"))
+    return _chosen(met.filter("not held")), links
 
 
 def _looked_up(queries: DataFrame, s: Scratch) -> DataFrame:
@@ -238,83 +234,256 @@ def _looked_up(queries: DataFrame, s: Scratch) -> DataFrame:
     return s.table(queries.select("cid", "n", F.explode(F.slice("keys", needed(F.col("n")), F.lit(max(ALL, *BANDS.values())))).alias("k")).select("cid", "n", "k.key"))
 
 
-def _pairs(asked: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(cid, x): each larger query with every set at least as large that is in one of its buckets."""
-    members = buckets.filter(F.col("n") > ALL).select("key", F.col("cid").alias("x"), F.col("n").alias("xn"))
-    return asked.join(members, "key").filter("xn >= n and x <> cid").select("cid", "x").distinct()
-
-
 def _words(ids: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
-    """(cid, n, least, words): of some classes the least hash, and 32 bits of each shingle, sorted; two sets of n agree by chance in n * n / 2**32."""
+    """(cid, words): of some classes 32 bits of each shingle, sorted; two sets of n agree by chance in n * n / 2**32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
                 got = [unpacked(low, rest) for low, rest in zip(x["low"].to_pylist(), x["rest"].to_pylist())]
-                yield pa.RecordBatch.from_arrays([x["cid"], x["n"], pa.array([int(g[0]) for g in got], pa.int64()), pa.array([np.sort(g.astype("<u4")).tobytes() for g in got], pa.binary())], ["cid", "n", "least", "words"])
+                yield pa.RecordBatch.from_arrays([x["cid"], pa.array([distinct(g.astype("<u4")).tobytes() for g in got], pa.binary())], ["cid", "words"])
 
-    own = sets.select("cid", "n", "low", "rest").join(sized(s.table(ids), 8), "cid", "left_semi").mapInArrow(run, "cid long, n int, least long, words binary")
+    own = sets.select("cid", "low", "rest").join(sized(ids, 8), "cid", "left_semi").mapInArrow(run, "cid long, words binary")
     return s.table(own.dropDuplicates(["cid"]), "none")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, s: Scratch) -> DataFrame:
-    """(cid, x, common) of the pairs that reach THRESHOLD.
-
-    Pairs meet in cells by the least hash of the larger set, which near copies
-    share, so that a set travels once for each cell and not for each pair.
+class Held:
+    """Sets of a cell, by their words: those in many sets as columns of a matrix, the others with lists of their sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(self.n), [len(x) for x in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], owner[order]
+        self.start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+        self.words = flat[self.start]
+        self.times = np.diff(np.r_[self.start, len(flat)])
+        often = np.flatnonzero(self.times * 16 >= self.n)
+        often = often[np.argsort(-self.times[often], kind="stable")[: max(1, DENSE // self.n)]]
+        self.column = np.full(len(self.words), -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.n), np.float32)
+        column = np.repeat(self.column, self.times)
+        self.matrix[column[column >= 0], self.owner[column >= 0]] = 1
+
+    def common(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Of each given set, how many words it has in common with each one held."""
+        flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(self.words, flat)
+        at[at == len(self.words)] = 0
+        hit = self.words[at] == flat
+        at, who = at[hit], who[hit]
+        column = self.column[at]
+        some = column >= 0
+        asked = np.zeros((len(sets), len(self.matrix)), np.float32)
+        asked[who[some], column[some]] = 1
+        out = np.rint(asked @ self.matrix).astype(np.int64)
+        at, who = at[~some], who[~some]
+        done = np.cumsum(self.times[at])
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + DENSE // 8, side="right")))
+            many = self.times[at[a:b]]
+            place = np.arange(many.sum()) + np.repeat(self.start[at[a:b]] - (np.cumsum(many) - many), many)
+            out += np.bincount(np.repeat(who[a:b], many) * self.n + self.owner[place], minlength=out.size).reshape(out.shape)
+            a = b
+        return out
+
+
+#: What _met tells of each query and of each set compared with it: its links, and of its best container common, m, and so on.
+MET = "held boolean, cid long, n int, links long, common long, m int, late int, id long, h long, parent long, tie long"
+
+
+def _met(asked: DataFrame, members: DataFrame, mine: DataFrame, held: DataFrame, s: Scratch, both: bool) -> DataFrame:
+    """MET: asked (cid, n, key) compared with the members (x, xn, key) of its buckets that are at least as large.
+
+    Each member lives in one cell, named by the bucket of its own that most
+    queries look up, so that near copies share a few cells however many they
+    are. A query goes to the cells of all its buckets' members and is compared
+    with all that live there; only sums and the best of each leave a cell, never
+    a pair. mine (cid, own, order, words) and held (x, members, m, parent, order,
+    words) tell what is compared; of own itself one member doesn't count. Two
+    sets of one size may ask for each other: if both do, or `both` says so, each
+    counts what it finds; else the one that asks counts for the other too.
     """
-    cells = pairs.join(texts.select(F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("least").alias("cell")), "x")
-    high = cells.groupBy("cell", "x").agg(F.first("xn").alias("xn"), F.count("*").alias("pairs")).groupBy("cell").agg(F.sum("xn").alias("words"), F.sum("pairs").alias("pairs"))
+    wanted = asked.groupBy("key").agg(F.count("*").alias("asks"), F.min("n").alias("least"))
+    homes = members.join(wanted, "key").filter("xn >= least").groupBy("x", "xn").agg(F.sort_array(F.collect_set(F.struct("asks", "key")), asc=False).alias("keys"))
+    homes = s.table(homes.select("x", "xn", F.col("keys")[0].key.alias("cell"), F.col("keys.key").alias("keys")))
+    via = homes.select("x", "xn", "cell", F.explode("keys").alias("key")).groupBy("key", "cell").agg(F.max("xn").alias("top"), F.min("x").alias("a"), F.max("x").alias("b"))
+    alone = (F.col("a") == F.col("cid")) & (F.col("b") == F.col("cid"))
+    routes = s.table(asked.join(via, "key").filter((F.col("top") >= F.col("n")) & ~alone).select("cid", "n", "cell").distinct())
+    space = homes.groupBy("cell").agg(F.sum(F.greatest("xn", F.size("keys"))).alias("words"), F.count("*").alias("many"))
     kx = F.ceil(F.col("words") / CELL_WORDS)
-    wide = high.select("cell", kx.alias("kx"), F.ceil(F.col("pairs") / (kx * CELL)).alias("kq"))
+    wide = routes.groupBy("cell").agg(F.count("*").alias("asks")).join(space, "cell").select("cell", kx.alias("kx"), F.ceil(F.col("many") * F.col("asks") / (kx * CELL)).alias("kq"))
+    wide = s.table(wide)
+    split = wide.filter("kx > 1 or kq > 1")
+    some = sized(s.table(split), 24)
     part = lambda c, k: F.pmod(F.xxhash64(c), F.col(k))
-    cells = s.table(cells.join(wide, "cell").select("cid", "x", "cell", (part("cid", "kq") * F.col("kx") + part("x", "kx")).alias("sub")))
-    larger = cells.select("cell", "sub", F.col("x").alias("cid")).distinct().withColumn("xs", F.lit(None).cast("array<long>"))
-    asking = cells.groupBy("cell", "sub", "cid").agg(F.collect_list("x").alias("xs")).select("cell", "sub", "cid", "xs")
-    stream = larger.unionByName(asking).join(texts.select("cid", "words"), "cid").repartition("cell", "sub").sortWithinPartitions("cell", "sub", F.col("xs").isNotNull())
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    spread = lambda df: df.join(some, "cell", "left").fillna(1, ["kx", "kq"])
+    live = spread(homes.select("x", "xn", "cell").join(wide.select("cell"), "cell", "left_semi")).select("x", "xn", "cell", part("x", "kx").alias("px"), "kx", each("kq").alias("pq"))
+    go = spread(routes).select("cid", "n", "cell", part("cid", "kq").alias("pq"), "kx", each("kx").alias("px"))
+    sub = (F.col("pq") * F.col("kx") + F.col("px")).alias("sub")
+    void = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    live = live.select("x", "xn", "cell", sub).join(held, "x")
+    if both:
+        live, go = live.withColumn("routes", void("array<long>", "routes")), go.withColumn("home", void("long", "home"))
+    else:
+        live = live.join(routes.groupBy(F.col("cid").alias("x")).agg(F.collect_list("cell").alias("routes")), "x", "left")
+        go = go.join(homes.select(F.col("x").alias("cid"), F.col("cell").alias("home")), "cid")
+    live = live.select("cell", "sub", F.lit(False).alias("asks"), F.col("x").alias("cid"), F.col("xn").alias("n"), "members", "m", "parent", *_order(), "words", "routes", void("long", "home"))
+    go = go.select("cid", "n", "cell", sub, "home").join(mine, "cid")
+    go = go.select("cell", "sub", F.lit(True).alias("asks"), "cid", "n", void("long", "members"), void("int", "m"), F.col("own").alias("parent"), *_order(), "words", void("array<long>", "routes"), "home")
+    stream = live.unionByName(go).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now, cell, rows = None, Cell(both), []
         for b in batches:
-            out: list[tuple[int, int, int]] = []
-            for cell, sub, cid, xs, words in zip(*(b[c].to_pylist() for c in ("cell", "sub", "cid", "xs", "words"))):
-                if now != (cell, sub):
-                    now, held = (cell, sub), {}
-                words = np.frombuffer(words, "<u4")
-                if xs is None:
-                    held[cid] = words
-                    continue
-                for x in xs:
-                    whole = held[x]
-                    at = np.searchsorted(whole, words)
-                    at[at == len(whole)] = 0
-                    common = int(np.count_nonzero(whole[at] == words))
-                    if common >= THRESHOLD * len(words) - 1e-9:
-                        out.append((cid, x, common))
-            cols = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cid", "x", "common"])
-
-    return s.table(stream.mapInArrow(run, "cid long, x long, common long"))
+            for i in range(0, b.num_rows, 128):
+                x = b.slice(i, 128)
+                for row in zip(*(c.to_pylist() for c in x.columns)):
+                    if now != row[:2]:
+                        rows += cell.ask() + cell.end()
+                        now, cell = row[:2], Cell(both)
+                    rows += cell.add(row[2], row[3:])
+                if len(rows) >= 1000:
+                    yield table_of(rows)
+                    rows = []
+        yield table_of(rows + cell.ask() + cell.end())
+
+    return s.table(stream.mapInArrow(run, MET))
+
+
+def table_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
+    fields = [f.split() for f in MET.split(", ")]
+    cols = list(zip(*rows)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], [n for n, _ in fields])
+
+
+class Cell:
+    """Rows of one cell, first the sets that live there and then those that ask for them, a block at a time."""
+
+    def __init__(self, both: bool):
+        self.both = both
+        self.live: list[tuple] = []
+        self.asking: list[tuple] = []
+        self.held: Held | None = None
+        self.size = 0
+
+    def add(self, asks: bool, row: tuple) -> list[tuple]:
+        words = np.frombuffer(row[8], "<u4") if isinstance(row[8], bytes) else np.array(row[8], np.int64)
+        row = (*row[:8], words, *row[9:])
+        if not asks:
+            self.live.append(row)
+            return []
+        self.asking.append(row)
+        self.size += len(words)
+        return self.ask() if self.size >= CELL_WORDS // 8 or len(self.asking) * len(self.live) >= DENSE // 8 else []
+
+    def start(self) -> None:
+        cid, self.n, self.members, self.m, parent, late, ids, h, words, routes, _ = zip(*self.live)
+        self.held = Held(words)
+        self.live = []
+        self.cid, self.parent = np.array(cid, np.int64), np.array(parent, np.int64)
+        self.n, self.members, self.m = (np.array(x, np.int64) for x in (self.n, self.members, self.m))
+        self.order = places_of(late, ids, h)
+        self.routes = [set(r or ()) for r in routes]
+        self.homes: dict[int, np.ndarray] = {}
+        # Of containers with as many common words the largest, then the earliest, then the greatest number is best.
+        self.rank = np.empty(len(cid), np.int64)
+        self.rank[np.lexsort((self.cid, *(~x for x in self.order[1::-1]), self.m))] = np.arange(len(cid))
+        self.links = np.zeros(len(cid), np.int64)
+        self.best: dict[int, tuple] = {}
+
+    def mutual(self, home: int) -> np.ndarray:
+        """Of each set here, whether it asks in the given cell."""
+        if home not in self.homes:
+            self.homes[home] = np.fromiter((home in r for r in self.routes), bool, len(self.routes))
+        return self.homes[home]
+
+    def ask(self) -> list[tuple]:
+        asking, self.asking, self.size = self.asking, [], 0
+        if not asking or not (self.held or self.live):
+            return []
+        if self.held is None:
+            self.start()
+        cid, n, _, _, own, late, ids, h, words, _, home = zip(*asking)
+        cid, n, own = (np.array(x, np.int64) for x in (cid, n, own))
+        order = places_of(late, ids, h)
+        common = self.held.common(words)
+        need = np.ceil(n * THRESHOLD - 1e-9)
+        others = self.members - (own[:, None] == self.cid)
+        ok = (common >= need[:, None]) & (self.n >= n[:, None]) & (others > 0)
+        equal = ok & (self.n == n[:, None])
+        i, j = np.nonzero(equal)
+        before = np.zeros(len(i), bool)  # the one that lives here is the earlier one
+        same = np.ones(len(i), bool)
+        for x, y in zip((x[j] for x in self.order), (y[i] for y in order)):
+            before |= same & (x < y)
+            same &= x == y
+        up = ok.copy()
+        up[i, j] = before
+        links = (others * ok).sum(axis=1)
+        given = ok & ~equal
+        if not self.both:
+            one = ~np.array([self.mutual(c) for c in home])[i, j] if len(i) else before
+            given[i, j] = one
+            for y, x in sorted(zip(i[one & ~before].tolist(), j[one & ~before].tolist())):
+                self.better(x, (int(common[y, x]), int(n[y]), -late[y], ~order[1][y], int(cid[y]), late[y], ids[y], h[y], int(cid[y])))
+        self.links += given.sum(axis=0)
+        key = np.where(up, common * (len(self.cid) + 1) + self.rank, -1)
+        top = key.argmax(axis=1)
+        out = []
+        for y in np.flatnonzero(links).tolist():
+            x = top[y]
+            found = (int(common[y, x]), int(self.m[x]), *self.place(x), int(self.parent[x]), int(self.cid[x])) if key[y, x] >= 0 else (None,) * 7
+            out.append((False, int(cid[y]), int(n[y]), int(links[y]), *found))
+        return out
+
+    def place(self, x: int) -> tuple:
+        late, i, h = (int(c[x]) for c in self.order)
+        return late, None if late == 2 else i, h
+
+    def better(self, x: int, found: tuple) -> None:
+        if x not in self.best or self.best[x][:5] < found[:5]:
+            self.best[x] = found
+
+    def end(self) -> list[tuple]:
+        if self.held is None:
+            return []
+        out = []
+        for x in np.flatnonzero(self.links).tolist():
+            common, m, _, _, tie, late, i, h, parent = self.best.get(x, (None,) * 9)
+            out.append((True, int(self.cid[x]), int(self.n[x]), int(self.links[x]), common, m, late, i, h, parent, tie))
+        return out
+
+
+def places_of(late: tuple, ids: tuple, h: tuple) -> tuple[np.ndarray, ...]:
+    """(late, id, h) as numbers, of which the least comes first; a null id is the only one with late 2."""
+    return np.array(late, np.int64), np.array([i or 0 for i in ids], np.int64), np.array(h, np.int64)
+
+
+def _chosen(met: DataFrame) -> DataFrame:
+    """(cid, parent, containment, m): the container with the most in common, then the largest, the earliest."""
+    best = F.max_by(F.struct("parent", (F.col("common") / F.col("n")).alias("containment"), "m"), F.struct("common", "m", (-F.col("late")).alias("l"), F.bitwise_not("id").alias("i"), "tie"))
+    return met.filter("parent is not null").groupBy("cid").agg(best.alias("b")).select("cid", "b.*")
 
 
 def _large(queries: DataFrame, buckets: DataFrame, sets: DataFrame, whole: str, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
     """As _small, of queries of more than ALL shingles, compared set by set; deletes the table of whole sets, in the folder `whole`."""
     asked = _looked_up(queries.filter(F.col("n") > ALL), s)
-    ids = buckets.filter(F.col("n") > ALL).join(asked.select("key").distinct(), "key", "left_semi").select("cid").distinct()
+    members = buckets.filter(F.col("n") > ALL).select(F.col("cid").alias("x"), F.col("n").alias("xn"), "key")
+    ids = s.table(members.join(asked.select("key").distinct(), "key", "left_semi").select(F.col("x").alias("cid")).distinct())
     texts = _words(ids, sets, s)
     # Nobody reads the table of all sets any more.
     remove(s.spark, whole)
-    found = _compared(s.table(_pairs(asked, buckets)), texts, s)
-    mine = classes.select("cid", "n", F.struct(*_order()).alias("o"))
-    both = found.join(mine, "cid").join(mine.select(F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("o").alias("xo")), "x")
-    swap = (F.col("xn") == F.col("n")) & (F.col("xo") > F.col("o"))
-    pick = lambda a, b, name: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name)
-    edges = s.table(both.select(pick("cid", "x", "cid"), pick("x", "cid", "parent"), pick("xo", "o", "po"), F.col("n"), F.col("xn").alias("m"), "common").dropDuplicates(["cid", "parent"]))
-    best = F.max_by(F.struct("parent", (F.col("common") / F.col("n")).alias("containment"), "m"), F.struct("common", "m", (-F.col("po.late")).alias("l"), F.bitwise_not("po.id").alias("i"), "parent"))
-    chosen = edges.groupBy("cid").agg(best.alias("b")).select("cid", "b.*")
-    links = edges.select(F.explode(F.array("cid", "parent")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
-    return chosen, links
+    known = classes.select("cid", F.col("n").alias("m"), *_order()).join(texts, "cid")
+    mine = known.select("cid", F.col("cid").alias("own"), *_order(), "words")
+    held = known.select(F.col("cid").alias("x"), F.lit(1).cast("long").alias("members"), "m", F.col("cid").alias("parent"), *_order(), "words")
+    met = _met(asked, members, mine, held, s, both=False)
+    return _chosen(met), met.select("cid", "links")
 
 
 def _roots(forest: DataFrame, s: Scratch) -> DataFrame:
@@ -328,19 +497,8 @@ def _roots(forest: DataFrame, s: Scratch) -> DataFrame:
             return now
 
 
-def _contained(queries: DataFrame, buckets: DataFrame, sets: DataFrame, classes: DataFrame, s: Scratch) -> DataFrame:
-    """(cid): queries that are in the largest member of one of their buckets, the earliest of equally large ones; a largest value for each bucket, so linear work."""
-    asked = _looked_up(queries, s)
-    members = buckets.join(asked.select("key").distinct(), "key", "left_semi").select("key", "cid").join(classes.select("cid", "n", *_order()), "cid")
-    top = members.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("less"), *_order(), "cid")).alias("top"))
-    mine = classes.select("cid", F.struct((-F.col("n")).alias("less"), *_order(), "cid").alias("me"))
-    pairs = s.table(asked.select("cid", "key").join(top, "key").groupBy("cid", "top").agg(F.count("*").alias("hits")).join(mine, "cid").filter("top < me").select("cid", F.col("top.cid").alias("x")).distinct())
-    texts = _words(pairs.select(F.explode(F.array("cid", "x")).alias("cid")).distinct(), sets, s)
-    return s.table(_compared(pairs, texts, s).select("cid").distinct())
-
-
-def _search(docs: DataFrame, s: Scratch, links: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, forest, links): (doc_id, late, h, cid, n) of each row, one class for each distinct set, the container chosen for each redundant class, and counts of linked classes to be summed by cid; without links the latter is void, and a container may be null."""
+def _search(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, forest, links): (doc_id, late, h, cid, n) of each row, one class for each distinct set, the container chosen for each redundant class, and counts of linked classes to be summed by cid."""
     sets = _sets(docs, s)
     whole = f"{s.at}/{s.n}"
     heads = s.table(sets.select("doc_id", "late", "h", "cid", "n"))
@@ -348,17 +506,11 @@ def _search(docs: DataFrame, s: Scratch, links: bool = True) -> tuple[DataFrame,
     classes = s.table(heads.filter("n > 0").groupBy("cid").agg(first.alias("first"), F.first("n").alias("n"), (F.min("h") < F.max("h")).alias("copied")).select("cid", "n", "copied", "first.*"))
     buckets = _buckets(sets, s)
     queries = _queries(buckets, s)
-    if not links:  # whether there is a container: those found by one comparison are no queries any more
-        known = queries.select("cid") if queries.isEmpty() else _contained(queries, buckets, sets, classes, s)
-        queries = s.table(queries.join(sized(known, 8), "cid", "left_anti"))
     none = [s.spark.createDataFrame([], x) for x in ("cid long, parent long, containment double, m int", "cid long, links long")]
     least, most = queries.agg(F.min("n"), F.max("n")).first()
     small, few = _small(queries, buckets, classes, s) if least and least <= ALL else none
     large, many = _large(queries, buckets, sets, whole, classes, s) if most and most > ALL else none
     forest = small.unionByName(large).drop("m")
-    if not links:
-        nil = F.lit(None)
-        forest = forest.unionByName(known.select("cid", nil.cast("long").alias("parent"), nil.cast("double").alias("containment")))
     return heads, classes, s.table(forest), few.unionByName(many)
 
 
@@ -395,7 +547,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     columns, whatever their names; an empty table stays empty.
     """
     with Scratch(spark) as s:
-        heads, classes, forest, _ = _search(docs, s, links=False)
+        heads, classes, forest, _ = _search(docs, s)
         copies = heads.filter("n > 0").select("cid", "h", F.col("doc_id").alias("id")).join(classes.filter("copied").select("cid", F.col("h").alias("first")), "cid").filter("h <> first").select("id", "h")
         below = forest.join(classes, "cid").select("id", "h")
         gone = s.result(copies.unionByName(below).distinct())

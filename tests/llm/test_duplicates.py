@@ -90,6 +90,36 @@ def test_the_stage_drops_what_groups_names(spark, texts):
     assert kept == {i for i, _ in rows} - gone and len(gone) > 60
 
 
+def test_near_copies_of_one_text_are_counted_without_a_row_for_each_pair(spark, monkeypatch):
+    """All links of 300 near copies, of 250 small documents with one line and of what contains them; no table of the search has a row for each."""
+    rng = random.Random(31)
+    base, line = prose(rng, 120), prose(rng, 14)
+    rows = [(i, edited(rng, base, 0.01)) for i in range(300)]
+    rows += [(1000 + i, f"{prose(rng, rng.randrange(1, 4))} {line}") for i in range(250)] + [(2000 + i, f"{prose(rng, 100)} {line}") for i in range(50)]
+    rows += [(3000 + i, f"{prose(rng, 90)} {base} {prose(rng, 90)}") for i in range(20)]
+    sizes, write = [], near_dup.Scratch.table
+
+    def counted(self, df, *kind):
+        out = write(self, df, *kind)
+        if "band" not in out.columns and "key" not in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup.Scratch, "table", counted)
+    want = brute(rows)
+    assert {r.doc_id: r.n_links for r in near_dup.groups(frame(spark, rows)).collect()} == want
+    assert sum(want.values()) > 100_000 and max(sizes) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("limits", [{}, {"CELL": 500, "CELL_WORDS": 3000}, {"DENSE": 900}])
+def test_cells_of_any_size_and_split_count_the_same(spark, texts, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(near_dup, k, v)
+    want = {tuple(r) for r in near_dup.groups(frame(spark, texts)).collect()}
+    found = {r[0]: r[4] for r in want}
+    assert found == {i: n for i, n in brute(texts).items() if i in found} and len(found) >= near_dup.RECALL * len(brute(texts))
+
+
 def test_small_documents_lose_nothing(spark):
     rng = random.Random(21)
     lines = [prose(rng, 9) for _ in range(6)]
