@@ -162,6 +162,14 @@ class Seeds:
         return tuple(np.concatenate(c) for c in zip(*self.parts))
 
 
+def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(uid, doc_id, text, keys) of each row; 128 rows at a time are Python objects, not a whole batch of texts."""
+    for b in batches:
+        for i in range(0, b.num_rows, 128):
+            x = b.slice(i, 128)
+            yield from zip(*(x[c].to_pylist() for c in ("uid", "doc_id", "text", "keys")))
+
+
 def _part(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
 
@@ -350,12 +358,11 @@ def _suffix_matches(texts: DataFrame, count: int) -> DataFrame:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds()
-        for b in batches:
-            for row in zip(b["uid"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist(), b["keys"].to_pylist()):
-                seeds.add(*row)
-                if seeds.n >= RUN:
-                    yield from send(seeds)
-                    seeds = Seeds()
+        for row in text_rows(batches):
+            seeds.add(*row)
+            if seeds.n >= RUN:
+                yield from send(seeds)
+                seeds = Seeds()
         if seeds.n:
             yield from send(seeds)
 

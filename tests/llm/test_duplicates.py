@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sleuthframe.llm import near_dup, repeats
@@ -215,6 +217,18 @@ def test_other_documents_in_a_bucket_hide_no_container(spark):
     assert got == {10 * i: 10 * i + 3 for i in range(40)}
 
 
+def test_a_batch_of_texts_is_not_held_as_python_objects():
+    texts = ["x" * 10_000] * 4_000
+    whole = range(len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(whole), pa.array(whole), pa.array(texts), pa.array([[i] for i in whole])], ["uid", "doc_id", "text", "keys"])
+    tracemalloc.start()
+    try:
+        assert [r[0] for r in repeats.text_rows(iter([batch]))] == list(whole)
+        assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def covered(texts):
     """Of each document, the words in windows that occur before it, by id and place."""
     n = repeats.LENGTH
