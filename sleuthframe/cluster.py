@@ -6,11 +6,15 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows handed to a Python worker at once while a scratch table is written: both sides hold a batch whole, and texts are long.
+BATCH_ROWS = 512
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,6 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most BATCH_ROWS for what runs within; the session's own setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder for the length of a ``with`` block.
 
@@ -62,12 +79,14 @@ class Scratch:
     def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
-        df.write.option("compression", compression).parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame) -> DataFrame:
         """A checkpoint, which outlives the block; with spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes it once no plan refers to it."""
-        return df.checkpoint()
+        with small_batches(self.spark):
+            return df.checkpoint()
 
     def __exit__(self, *exc: object) -> None:
         remove(self.spark, self.at)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from sleuthframe.cluster import BATCH_ROWS, Scratch
 from sleuthframe.llm import near_dup, repeats
 from sleuthframe.llm.common import WORD, Hashed
 
@@ -229,6 +230,22 @@ def test_a_batch_of_texts_is_not_held_as_python_objects():
         tracemalloc.stop()
 
 
+def test_scratch_tables_are_written_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["rows"])
+
+    df = spark.range(0, 5000, 1, 1).mapInArrow(run, "rows long")
+    with Scratch(spark) as s:
+        for kept in (s.table(df), s.result(df)):
+            got = [r.rows for r in kept.collect()]
+            assert sum(got) == 5000 and max(got) <= BATCH_ROWS
+    assert spark.conf.get(key) == before
+
+
 def covered(texts):
     """Of each document, the words in windows that occur before it, by id and place."""
     n = repeats.LENGTH
