@@ -144,23 +144,39 @@ def _filter(sets: DataFrame) -> Broadcast:
                 whole[at[first] >> 3] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
         whole = whole.reshape(-1, block)
         for i in np.flatnonzero(whole.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([whole[i].tobytes()], pa.binary())], ["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([sparse(whole[i])], pa.binary())], ["block", "bits"])
 
     def either(t: pa.Table) -> pa.Table:
         out = np.zeros(block, np.uint8)
         for x in t["bits"]:
-            out |= np.frombuffer(x.as_buffer(), np.uint8)
-        return pa.table([t["block"].slice(0, 1).cast(pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "bits"])
+            out |= dense(x.as_py(), block)
+        return pa.table([t["block"].slice(0, 1).cast(pa.int32()), pa.array([sparse(out)], pa.binary())], names=["block", "bits"])
 
     parts = sets.select("low").mapInArrow(run, "block int, bits binary")
-    # By sixty-fourths first, so that no task holds one block of all others.
-    some = parts.groupBy("block", F.pmod(F.spark_partition_id(), F.lit(64))).applyInArrow(either, "block int, bits binary")
+    # Of many, by sixty-fourths first, so that no task holds one block of all others.
+    some = parts
+    if sets.rdd.getNumPartitions() > 64:
+        some = parts.groupBy("block", F.pmod(F.spark_partition_id(), F.lit(64))).applyInArrow(either, "block int, bits binary")
     whole = np.zeros((1 << bits) // 8, np.uint8)
     for r in some.groupBy("block").applyInArrow(either, "block int, bits binary").collect():
-        whole[r.block * block : (r.block + 1) * block] = np.frombuffer(r.bits, np.uint8)
+        whole[r.block * block : (r.block + 1) * block] = dense(bytes(r.bits), block)
     return sets.sparkSession.sparkContext.broadcast((bits, whole))
 
 
+def sparse(bits: np.ndarray) -> bytes:
+    """A block of the filter: the gaps between its bits, of two bytes each, where that is shorter; else as it is."""
+    gaps = np.diff(np.flatnonzero(np.unpackbits(bits, bitorder="little")), prepend=0)
+    return gaps.astype("<u2").tobytes() if 2 * len(gaps) < len(bits) and gaps.max(initial=0) < 1 << 16 else bits.tobytes()
+
+
+def dense(data: bytes, size: int) -> np.ndarray:
+    if len(data) == size:
+        return np.frombuffer(data, np.uint8)
+    bits = np.zeros(8 * size, np.uint8)
+    bits[np.cumsum(np.frombuffer(data, "<u2").astype(np.int64))] = 1
+    return np.packbits(bits, bitorder="little")
+
+
 def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(keys + U64(1))
     return (h & U64((1 << bits) - 1)).astype(np.int64), (h >> U64(64 - bits)).astype(np.int64)
@@ -235,17 +251,19 @@ def _looked_up(queries: DataFrame, s: Scratch) -> DataFrame:
 
 
 def _words(ids: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
-    """(cid, words): of some classes 32 bits of each shingle, sorted; two sets of n agree by chance in n * n / 2**32."""
+    """(cid, words): of some classes, once for each partition that has it, 32 bits of each shingle, sorted; two sets of n agree by chance in n * n / 2**32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
+                new = [c not in done and not done.add(c) for c in x["cid"].to_pylist()]
+                x = x.filter(pa.array(new))
                 got = [unpacked(low, rest) for low, rest in zip(x["low"].to_pylist(), x["rest"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([x["cid"], pa.array([distinct(g.astype("<u4")).tobytes() for g in got], pa.binary())], ["cid", "words"])
 
-    own = sets.select("cid", "low", "rest").join(sized(ids, 8), "cid", "left_semi").mapInArrow(run, "cid long, words binary")
-    return s.table(own.dropDuplicates(["cid"]), "none")
+    return s.table(sets.select("cid", "low", "rest").join(sized(ids, 8), "cid", "left_semi").mapInArrow(run, "cid long, words binary"), "none")
 
 
 class Held:
@@ -302,7 +320,7 @@ def _met(asked: DataFrame, members: DataFrame, mine: DataFrame, held: DataFrame,
     queries look up, so that near copies share a few cells however many they
     are. A query goes to the cells of all its buckets' members and is compared
     with all that live there; only sums and the best of each leave a cell, never
-    a pair. mine (cid, own, order, words) and held (x, members, m, parent, order,
+    a pair. One that asks where it lives finds its words there, and takes none along. mine (cid, own, order, words) and held (x, members, m, parent, order,
     words) tell what is compared; of own itself one member doesn't count. Two
     sets of one size may ask for each other: if both do, or `both` says so, each
     counts what it finds; else the one that asks counts for the other too.
@@ -333,7 +351,8 @@ def _met(asked: DataFrame, members: DataFrame, mine: DataFrame, held: DataFrame,
         live = live.join(routes.groupBy(F.col("cid").alias("x")).agg(F.collect_list("cell").alias("routes")), "x", "left")
         go = go.join(homes.select(F.col("x").alias("cid"), F.col("cell").alias("home")), "cid")
     live = live.select("cell", "sub", F.lit(False).alias("asks"), F.col("x").alias("cid"), F.col("xn").alias("n"), "members", "m", "parent", *_order(), "words", "routes", void("long", "home"))
-    go = go.select("cid", "n", "cell", sub, "home").join(mine, "cid")
+    here = (F.col("cell") == F.col("home")) & (F.col("px") == part("cid", "kx"))
+    go = go.select("cid", "n", "cell", sub, "home", F.coalesce(here, F.lit(False)).alias("here")).join(mine, "cid").withColumn("words", F.when(~F.col("here"), F.col("words")))
     go = go.select("cell", "sub", F.lit(True).alias("asks"), "cid", "n", void("long", "members"), void("int", "m"), F.col("own").alias("parent"), *_order(), "words", void("array<long>", "routes"), "home")
     stream = live.unionByName(go).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "asks")
 
@@ -370,12 +389,14 @@ class Cell:
         self.live: list[tuple] = []
         self.asking: list[tuple] = []
         self.held: Held | None = None
+        self.words: dict[int, np.ndarray] = {}
         self.size = 0
 
     def add(self, asks: bool, row: tuple) -> list[tuple]:
-        words = np.frombuffer(row[8], "<u4") if isinstance(row[8], bytes) else np.array(row[8], np.int64)
+        words = np.frombuffer(row[8], "<u4") if isinstance(row[8], bytes) else self.words[row[0]] if row[8] is None else np.array(row[8], np.int64)
         row = (*row[:8], words, *row[9:])
         if not asks:
+            self.words[row[0]] = words
             self.live.append(row)
             return []
         self.asking.append(row)
@@ -479,7 +500,7 @@ def _large(queries: DataFrame, buckets: DataFrame, sets: DataFrame, whole: str,
     texts = _words(ids, sets, s)
     # Nobody reads the table of all sets any more.
     remove(s.spark, whole)
-    known = classes.select("cid", F.col("n").alias("m"), *_order()).join(texts, "cid")
+    known = classes.select("cid", F.col("n").alias("m"), *_order()).join(texts, "cid").dropDuplicates(["cid"])
     mine = known.select("cid", F.col("cid").alias("own"), *_order(), "words")
     held = known.select(F.col("cid").alias("x"), F.lit(1).cast("long").alias("members"), "m", F.col("cid").alias("parent"), *_order(), "words")
     met = _met(asked, members, mine, held, s, both=False)

@@ -187,6 +187,38 @@ def test_packing():
     assert (near_dup.unpacked(near_dup.packed(s[:40]), near_dup.packed(s[40:])) == s).all() and not len(near_dup.unpacked(b""))
 
 
+def test_blocks_of_the_filter_come_back_and_are_short():
+    rng = np.random.default_rng(3)
+    for many in (0, 1, 1_250, 30_000, 1 << 19):
+        bits = np.zeros(1 << 19, np.uint8)
+        bits[rng.choice(1 << 19, many, replace=False)] = 1
+        block = np.packbits(bits, bitorder="little")
+        data = near_dup.sparse(block)
+        assert (near_dup.dense(data, len(block)) == block).all()
+        assert many not in (0, 1_250, 30_000) or len(data) == 2 * many
+
+
+def test_one_that_asks_where_it_lives_takes_no_words_along(spark, monkeypatch):
+    rng = random.Random(8)
+    base = prose(rng, 200)
+    docs = [(k, edited(rng, base, 0.02)) for k in range(60)]
+    home = spark.sparkContext.accumulator(0)
+    plain = near_dup.Cell.add
+
+    def counted(self, asks, row):
+        home.add(int(asks and row[8] is None))
+        return plain(self, asks, row)
+
+    class Counted(near_dup.Cell):
+        add = counted
+
+    monkeypatch.setattr(near_dup, "Cell", Counted)
+    got = {r.doc_id: r.n_links for r in near_dup.groups(frame(spark, docs)).collect()}
+    assert got == brute(docs)
+    # One that lives alone in its cell doesn't ask there.
+    assert home.value > len(docs) / 2
+
+
 def test_containers_many_times_as_large(spark):
     """Documents contained whole and edited, in ones of 2 to 256 times their size; recall counts for each ratio."""
     rng = random.Random(16)
