@@ -30,12 +30,12 @@ groups are split into; copies are compared once, as their class.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cluster import remove
@@ -51,6 +51,8 @@ ALL = 64
 #: Bits of the filter of bands, for each document and at most; beyond the latter it only lets more shingles through to the index.
 FILTER_BITS = 512
 FILTER_MOST = 30
+#: The same for each row of the filter of those whose words are compared; beyond FILTER_MOST more words are computed, and dropped by the join.
+ROW_BITS = 16
 #: Pairs compared in one cell, and shingles held in it; cells of more are split into a grid.
 CELL = 20_000_000
 CELL_WORDS = 2_000_000
@@ -113,8 +115,30 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(np.array([whole + U64(len(s))]))[0].astype(np.int64)) if len(s) else 0
 
 
+def bands(s: np.ndarray) -> int:
+    """How many of a set's least hashes it is looked up by."""
+    return len(s) if len(s) <= ALL else PLAN[len(s).bit_length() - 1][0]
+
+
+def coded(s: np.ndarray) -> bytes:
+    """Sorted distinct numbers of 32 bits: their last three bytes (two of long sets), and before them, in order, a bit for each, moved on by a place at each step of what is above."""
+    width = 3 if len(s) < 8192 else 2
+    steps = np.zeros(len(s) + (1 << (32 - 8 * width)), np.uint8)
+    steps[(s >> np.uint32(8 * width)).astype(np.int64) + np.arange(len(s))] = 1
+    return np.array([len(s)], "<u4").tobytes() + np.packbits(steps).tobytes() + s.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    width = 3 if n < 8192 else 2
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8)[len(data) - n * width :].reshape(n, width)
+    steps = np.unpackbits(np.frombuffer(data, np.uint8)[4 : len(data) - n * width])
+    return out.view("<u4").ravel() | ((np.flatnonzero(steps) - np.arange(n)) << 8 * width).astype("<u4")
+
+
 def _sets(docs: DataFrame, s: Scratch) -> DataFrame:
-    """(doc_id, late, h, cid, n, low, rest): of each row its set, the bands apart; late puts negative ids and then null ones last."""
+    """(doc_id, late, h, cid, n, low): of each row its set's key, size and bands; late puts negative ids and then null ones last. The sets themselves, as large as the texts, are written nowhere: who needs them makes them of the texts again."""
     rows = picked(docs, doc_id="long", text="string").withColumn("h", row_key())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,23 +146,22 @@ def _sets(docs: DataFrame, s: Scratch) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
                 got = [shingle_set(t) for t in x["text"].to_pylist()]
-                cut = [len(g) if len(g) <= ALL else PLAN[len(g).bit_length() - 1][0] for g in got]
-                cols = [pa.array([set_key(g) for g in got], pa.int64()), pa.array([len(g) for g in got], pa.int32()), pa.array([packed(g[:m]) for g, m in zip(got, cut)], pa.binary()), pa.array([packed(g[m:]) for g, m in zip(got, cut)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], *cols], ["doc_id", "h", "cid", "n", "low", "rest"])
+                cols = [pa.array([set_key(g) for g in got], pa.int64()), pa.array([len(g) for g in got], pa.int32()), pa.array([packed(g[: bands(g)]) for g in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays([x["doc_id"], x["h"], *cols], ["doc_id", "h", "cid", "n", "low"])
 
     late = F.when(F.col("doc_id").isNull(), 2).when(F.col("doc_id") < 0, 1).otherwise(0)
-    return s.table(rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, cid long, n int, low binary, rest binary").withColumn("late", late), "none")
+    return s.table(rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, cid long, n int, low binary").withColumn("late", late), "none")
 
 
-def _filter(sets: DataFrame) -> Broadcast:
-    """A bit for two hashes of each band of any document: an array of at most 2**FILTER_MOST bits."""
-    bits = min(FILTER_MOST, max(19, math.ceil(math.log2(max(1, sets.count()) * FILTER_BITS))))
+def _filter(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], each: int) -> Broadcast:
+    """A bit for two hashes of each key of any row: an array of `each` bits a row, at most 2**FILTER_MOST."""
+    bits = min(FILTER_MOST, max(19, math.ceil(math.log2(max(1, rows.count()) * each))))
     block = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
-            at = distinct(np.concatenate(places(unpacked(*b["low"].to_pylist()), bits)))
+            at = distinct(np.concatenate(places(keys(b), bits)))
             if len(at):
                 first = np.flatnonzero(np.r_[True, at[1:] >> 3 != at[:-1] >> 3])
                 whole[at[first] >> 3] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
@@ -152,15 +175,22 @@ def _filter(sets: DataFrame) -> Broadcast:
             out |= dense(x.as_py(), block)
         return pa.table([t["block"].slice(0, 1).cast(pa.int32()), pa.array([sparse(out)], pa.binary())], names=["block", "bits"])
 
-    parts = sets.select("low").mapInArrow(run, "block int, bits binary")
+    parts = rows.mapInArrow(run, "block int, bits binary")
     # Of many, by sixty-fourths first, so that no task holds one block of all others.
     some = parts
-    if sets.rdd.getNumPartitions() > 64:
+    if rows.rdd.getNumPartitions() > 64:
         some = parts.groupBy("block", F.pmod(F.spark_partition_id(), F.lit(64))).applyInArrow(either, "block int, bits binary")
     whole = np.zeros((1 << bits) // 8, np.uint8)
     for r in some.groupBy("block").applyInArrow(either, "block int, bits binary").collect():
         whole[r.block * block : (r.block + 1) * block] = dense(bytes(r.bits), block)
-    return sets.sparkSession.sparkContext.broadcast((bits, whole))
+    return rows.sparkSession.sparkContext.broadcast((bits, whole))
+
+
+def among(keys: np.ndarray, shared: tuple[int, np.ndarray]) -> np.ndarray:
+    """Whether the filter has each key, or seems to."""
+    bits, seen = shared
+    p, q = places(keys, bits)
+    return ((seen[p >> 3] >> (p & 7).astype(np.uint8)) & (seen[q >> 3] >> (q & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def sparse(bits: np.ndarray) -> bytes:
@@ -182,34 +212,36 @@ def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & U64((1 << bits) - 1)).astype(np.int64), (h >> U64(64 - bits)).astype(np.int64)
 
 
-def _buckets(sets: DataFrame, s: Scratch) -> DataFrame:
-    """(key, cid, n, band, many): the members of buckets that more than one class is in, at least once each; band tells whether the member may be looked up there."""
-    shared = _filter(sets)
+def _buckets(docs: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
+    """(key, cid, n, band, many, tiny): the members of buckets that more than one class is in, at least once each; band tells whether the member may be looked up there, tiny whether one of up to ALL shingles may."""
+    shared = _filter(sets.select("low"), lambda b: unpacked(*b["low"].to_pylist()), FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value
         done: set[int] = set()
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                x = b.slice(i, 256)
                 keys, cids, ns, band = [], [], [], []
-                for cid, n, low, rest in zip(x["cid"].to_pylist(), x["n"].to_pylist(), x["low"].to_pylist(), x["rest"].to_pylist()):
-                    if n and cid not in done:
+                for t in b.slice(i, 256)["text"].to_pylist():
+                    g = shingle_set(t)
+                    cid = set_key(g)
+                    if len(g) and cid not in done:
                         done.add(cid)
-                        own, more = unpacked(low), unpacked(rest)
-                        p, q = places(more, bits)
-                        more = more[((seen[p >> 3] >> (p & 7).astype(np.uint8)) & (seen[q >> 3] >> (q & 7).astype(np.uint8)) & 1).astype(bool)]
+                        own, more = g[: bands(g)], g[bands(g) :]
+                        more = more[among(more, shared.value)]
                         keys += [own, more]
                         m = len(own) + len(more)
                         cids.append(np.full(m, cid, np.int64))
-                        ns.append(np.full(m, n, np.int32))
+                        ns.append(np.full(m, len(g), np.int32))
                         band.append(np.arange(m) < len(own))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(band))], ["key", "cid", "n", "band"])
 
-    rows = s.table(sets.select("cid", "n", "low", "rest").mapInArrow(run, "key long, cid long, n int, band boolean"))
-    many = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("a"), F.max("cid").alias("b"), F.max("band").alias("any")).filter("a <> b and any").select("key", "many")
-    found = s.table(rows.join(many, "key"))
+    rows = picked(docs, text="string").mapInArrow(run, "key long, cid long, n int, band boolean")
+    # All that is known of a bucket comes of the one exchange that brings its members together.
+    own = Window.partitionBy("key")
+    tiny = F.max(F.col("band") & (F.col("n") <= ALL)).over(own).alias("tiny")
+    rows = rows.select("*", F.count("*").over(own).alias("many"), F.min("cid").over(own).alias("a"), F.max("cid").over(own).alias("b"), F.max("band").over(own).alias("any"), tiny)
+    found = s.table(rows.filter("a <> b and any").drop("a", "b", "any"))
     shared.unpersist()
     return found
 
@@ -228,7 +260,7 @@ def _small(queries: DataFrame, buckets: DataFrame, classes: DataFrame, s: Scratc
     """Of queries of up to ALL shingles the containers (cid, parent, containment, m), and (cid, links) of all that is linked to them, compared by patterns: what a set has of all small queries' keys."""
     asked = s.table(queries.filter(F.col("n") <= ALL).select("cid", "n", F.col("keys.key").alias("keys"), needed(F.col("n")).alias("need")))
     words = asked.select(F.explode("keys").alias("key")).distinct()
-    has = buckets.select("cid", "n", "key").join(words, "key", "left_semi").groupBy("cid", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    has = buckets.filter("tiny").select("cid", "n", "key").join(words, "key", "left_semi").groupBy("cid", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     # Sizes beyond any query's count as one.
     has = has.withColumn("size", F.least("n", F.lit(ALL + 1))).withColumn("pattern", F.xxhash64("keys", "size"))
     member = s.table(has.join(classes.select("cid", *_order()), "cid"))
@@ -239,7 +271,7 @@ def _small(queries: DataFrame, buckets: DataFrame, classes: DataFrame, s: Scratc
     own = member.select("cid", F.col("pattern").alias("own"), *_order())
     mine = asked.select("cid", F.col("keys").alias("words")).join(own, "cid")
     held = kinds.select(F.col("pattern").alias("x"), "members", (-F.col("lead.less")).alias("m"), F.col("lead.cid").alias("parent"), *(F.col(f"lead.{c}").alias(c) for c in _order()), F.col("keys").alias("words"))
-    met = _met(keys, kinds.select(F.col("pattern").alias("x"), F.col("size").alias("xn"), F.explode("keys").alias("key")), mine, held, s, both=True)
+    met = _met(keys, kinds.select(F.col("pattern").alias("x"), F.col("size").alias("xn"), F.explode("keys").alias("key")), s, mine, held)
     below = met.filter("held").groupBy(F.col("cid").alias("pattern")).agg(F.sum("links").alias("links"))
     links = met.filter("not held").select("cid", "links").unionByName(member.select("cid", "pattern").join(below, "pattern").select("cid", "links"))
     return _chosen(met.filter("not held")), links
@@ -250,20 +282,20 @@ def _looked_up(queries: DataFrame, s: Scratch) -> DataFrame:
     return s.table(queries.select("cid", "n", F.explode(F.slice("keys", needed(F.col("n")), F.lit(max(ALL, *BANDS.values())))).alias("k")).select("cid", "n", "k.key"))
 
 
-def _words(ids: DataFrame, sets: DataFrame, s: Scratch) -> DataFrame:
-    """(cid, words): of some classes, once for each partition that has it, 32 bits of each shingle, sorted; two sets of n agree by chance in n * n / 2**32."""
+def _words(some: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, words): of the classes that have the rows `some` (h), and perhaps of a few others: 32 bits of each shingle, coded; two sets of n agree by chance in n * n / 2**32."""
+    shared = _filter(some, lambda b: b["h"].to_numpy().view(U64), ROW_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
-                new = [c not in done and not done.add(c) for c in x["cid"].to_pylist()]
-                x = x.filter(pa.array(new))
-                got = [unpacked(low, rest) for low, rest in zip(x["low"].to_pylist(), x["rest"].to_pylist())]
-                yield pa.RecordBatch.from_arrays([x["cid"], pa.array([distinct(g.astype("<u4")).tobytes() for g in got], pa.binary())], ["cid", "words"])
+                x = x.filter(pa.array(among(x["h"].to_numpy().view(U64), shared.value)))
+                got = [shingle_set(t) for t in x["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in got], pa.int64()), pa.array([coded(distinct(g.astype("<u4"))) for g in got], pa.binary())], ["cid", "words"])
 
-    return s.table(sets.select("cid", "low", "rest").join(sized(ids, 8), "cid", "left_semi").mapInArrow(run, "cid long, words binary"), "none")
+    rows = picked(docs, doc_id="long", text="string").withColumn("h", row_key())
+    return rows.select("h", "text").mapInArrow(run, "cid long, words binary")
 
 
 class Held:
@@ -313,7 +345,7 @@ class Held:
 MET = "held boolean, cid long, n int, links long, common long, m int, late int, id long, h long, parent long, tie long"
 
 
-def _met(asked: DataFrame, members: DataFrame, mine: DataFrame, held: DataFrame, s: Scratch, both: bool) -> DataFrame:
+def _met(asked: DataFrame, members: DataFrame, s: Scratch, mine: DataFrame | None = None, held: DataFrame | None = None, known: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """MET: asked (cid, n, key) compared with the members (x, xn, key) of its buckets that are at least as large.
 
     Each member lives in one cell, named by the bucket of its own that most
@@ -321,10 +353,13 @@ def _met(asked: DataFrame, members: DataFrame, mine: DataFrame, held: DataFrame,
     are. A query goes to the cells of all its buckets' members and is compared
     with all that live there; only sums and the best of each leave a cell, never
     a pair. One that asks where it lives finds its words there, and takes none along. mine (cid, own, order, words) and held (x, members, m, parent, order,
-    words) tell what is compared; of own itself one member doesn't count. Two
-    sets of one size may ask for each other: if both do, or `both` says so, each
+    words) tell what is compared; of own itself one member doesn't count. Where
+    both sides are sets, `known` gives (cid, m, order, words) of those (cid) that go anywhere,
+    and their words are exchanged once for either side. Two
+    sets of one size may ask for each other: if both do, or neither is a set, each
     counts what it finds; else the one that asks counts for the other too.
     """
+    both = known is None
     wanted = asked.groupBy("key").agg(F.count("*").alias("asks"), F.min("n").alias("least"))
     homes = members.join(wanted, "key").filter("xn >= least").groupBy("x", "xn").agg(F.sort_array(F.collect_set(F.struct("asks", "key")), asc=False).alias("keys"))
     homes = s.table(homes.select("x", "xn", F.col("keys")[0].key.alias("cell"), F.col("keys.key").alias("keys")))
@@ -344,17 +379,20 @@ def _met(asked: DataFrame, members: DataFrame, mine: DataFrame, held: DataFrame,
     go = spread(routes).select("cid", "n", "cell", part("cid", "kq").alias("pq"), "kx", each("kx").alias("px"))
     sub = (F.col("pq") * F.col("kx") + F.col("px")).alias("sub")
     void = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    live = live.select("x", "xn", "cell", sub).join(held, "x")
+    live = live.select(F.col("x").alias("cid"), F.col("xn").alias("n"), "cell", sub, F.lit(False).alias("asks"), void("long", "home"), F.lit(False).alias("here"))
     if both:
-        live, go = live.withColumn("routes", void("array<long>", "routes")), go.withColumn("home", void("long", "home"))
+        live = live.join(held.withColumnRenamed("x", "cid"), "cid").withColumn("routes", void("array<long>", "routes"))
+        go = go.select("cid", "n", "cell", sub, F.lit(True).alias("asks"), void("long", "home"), F.lit(False).alias("here"), void("array<long>", "routes"), void("long", "members"), void("int", "m"))
+        stream = live.unionByName(go.join(mine.withColumnRenamed("own", "parent"), "cid"))
     else:
-        live = live.join(routes.groupBy(F.col("cid").alias("x")).agg(F.collect_list("cell").alias("routes")), "x", "left")
+        live = live.join(routes.groupBy("cid").agg(F.collect_list("cell").alias("routes")), "cid", "left")
         go = go.join(homes.select(F.col("x").alias("cid"), F.col("cell").alias("home")), "cid")
-    live = live.select("cell", "sub", F.lit(False).alias("asks"), F.col("x").alias("cid"), F.col("xn").alias("n"), "members", "m", "parent", *_order(), "words", "routes", void("long", "home"))
-    here = (F.col("cell") == F.col("home")) & (F.col("px") == part("cid", "kx"))
-    go = go.select("cid", "n", "cell", sub, "home", F.coalesce(here, F.lit(False)).alias("here")).join(mine, "cid").withColumn("words", F.when(~F.col("here"), F.col("words")))
-    go = go.select("cell", "sub", F.lit(True).alias("asks"), "cid", "n", void("long", "members"), void("int", "m"), F.col("own").alias("parent"), *_order(), "words", void("array<long>", "routes"), "home")
-    stream = live.unionByName(go).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "asks")
+        here = (F.col("cell") == F.col("home")) & (F.col("px") == part("cid", "kx"))
+        go = go.select("cid", "n", "cell", sub, F.lit(True).alias("asks"), "home", F.coalesce(here, F.lit(False)).alias("here"), void("array<long>", "routes"))
+        ways = s.table(live.unionByName(go))
+        stream = ways.join(known(ways.select("cid")), "cid").withColumn("members", F.lit(1).cast("long")).withColumn("parent", F.col("cid"))
+    stream = stream.select("cell", "sub", "asks", "cid", "n", "members", "m", "parent", *_order(), F.when(~F.col("here"), F.col("words")).alias("words"), "routes", "home")
+    stream = stream.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cell, rows = None, Cell(both), []
@@ -393,7 +431,7 @@ class Cell:
         self.size = 0
 
     def add(self, asks: bool, row: tuple) -> list[tuple]:
-        words = np.frombuffer(row[8], "<u4") if isinstance(row[8], bytes) else self.words[row[0]] if row[8] is None else np.array(row[8], np.int64)
+        words = decoded(row[8]) if isinstance(row[8], bytes) else self.words[row[0]] if row[8] is None else np.array(row[8], np.int64)
         row = (*row[:8], words, *row[9:])
         if not asks:
             self.words[row[0]] = words
@@ -492,18 +530,16 @@ def _chosen(met: DataFrame) -> DataFrame:
     return met.filter("parent is not null").groupBy("cid").agg(best.alias("b")).select("cid", "b.*")
 
 
-def _large(queries: DataFrame, buckets: DataFrame, sets: DataFrame, whole: str, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """As _small, of queries of more than ALL shingles, compared set by set; deletes the table of whole sets, in the folder `whole`."""
+def _large(queries: DataFrame, buckets: DataFrame, docs: DataFrame, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """As _small, of queries of more than ALL shingles, compared set by set."""
     asked = _looked_up(queries.filter(F.col("n") > ALL), s)
     members = buckets.filter(F.col("n") > ALL).select(F.col("cid").alias("x"), F.col("n").alias("xn"), "key")
-    ids = s.table(members.join(asked.select("key").distinct(), "key", "left_semi").select(F.col("x").alias("cid")).distinct())
-    texts = _words(ids, sets, s)
-    # Nobody reads the table of all sets any more.
-    remove(s.spark, whole)
-    known = classes.select("cid", F.col("n").alias("m"), *_order()).join(texts, "cid").dropDuplicates(["cid"])
-    mine = known.select("cid", F.col("cid").alias("own"), *_order(), "words")
-    held = known.select(F.col("cid").alias("x"), F.lit(1).cast("long").alias("members"), "m", F.col("cid").alias("parent"), *_order(), "words")
-    met = _met(asked, members, mine, held, s, both=False)
+
+    def known(ids: DataFrame) -> DataFrame:
+        some = s.table(classes.join(ids, "cid", "left_semi").select("cid", F.col("n").alias("m"), *_order()))
+        return some.join(_words(some.select("h"), docs), "cid").dropDuplicates(["cid"])
+
+    met = _met(asked, members, s, known=known)
     return _chosen(met), met.select("cid", "links")
 
 
@@ -521,16 +557,17 @@ def _roots(forest: DataFrame, s: Scratch) -> DataFrame:
 def _search(docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents, classes, forest, links): (doc_id, late, h, cid, n) of each row, one class for each distinct set, the container chosen for each redundant class, and counts of linked classes to be summed by cid."""
     sets = _sets(docs, s)
-    whole = f"{s.at}/{s.n}"
+    bare = f"{s.at}/{s.n}"
     heads = s.table(sets.select("doc_id", "late", "h", "cid", "n"))
     first = F.min(F.struct("late", F.col("doc_id").alias("id"), "h"))
     classes = s.table(heads.filter("n > 0").groupBy("cid").agg(first.alias("first"), F.first("n").alias("n"), (F.min("h") < F.max("h")).alias("copied")).select("cid", "n", "copied", "first.*"))
-    buckets = _buckets(sets, s)
+    buckets = _buckets(docs, sets, s)
+    remove(s.spark, bare)  # nobody reads the bands any more
     queries = _queries(buckets, s)
     none = [s.spark.createDataFrame([], x) for x in ("cid long, parent long, containment double, m int", "cid long, links long")]
     least, most = queries.agg(F.min("n"), F.max("n")).first()
     small, few = _small(queries, buckets, classes, s) if least and least <= ALL else none
-    large, many = _large(queries, buckets, sets, whole, classes, s) if most and most > ALL else none
+    large, many = _large(queries, buckets, docs, classes, s) if most and most > ALL else none
     forest = small.unionByName(large).drop("m")
     return heads, classes, s.table(forest), few.unionByName(many)
 
@@ -544,7 +581,8 @@ def groups(docs: DataFrame) -> DataFrame:
     equal sets the least doc_id stays, negative ones after others and null ones
     last; of linked sets of one size too. Of several containers the one with the
     most in common is named, of equal ones the largest. Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. docs is read several times, and must
+    have the same rows each time.
     """
     with Scratch(docs.sparkSession) as s:
         heads, classes, forest, links = _search(docs, s)

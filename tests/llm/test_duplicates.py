@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +220,37 @@ def test_one_that_asks_where_it_lives_takes_no_words_along(spark, monkeypatch):
     assert home.value > len(docs) / 2
 
 
+@pytest.mark.parametrize("n", [0, 1, 65, 700, 8_191, 8_192, 50_000])
+def test_coded_words_come_back_and_are_short(n):
+    s = np.unique(np.r_[0, (1 << 32) - 1, np.random.default_rng(n).integers(0, 1 << 32, 2 * n)].astype("<u4"))[:n] if n else np.zeros(0, "<u4")
+    for x in (s, np.sort(~s)):
+        assert (near_dup.decoded(near_dup.coded(x)) == x).all() and len(near_dup.decoded(near_dup.coded(x))) == n
+        assert n < 700 or len(near_dup.coded(x)) < 0.82 * 4 * n
+
+
+def test_sets_as_large_as_the_texts_are_not_written(spark, monkeypatch):
+    """What the search has in its folder at any time, with texts that resemble none and with near copies."""
+    rng = random.Random(41)
+    base = prose(rng, 800)
+    rows = [(i, prose(rng, 800)) for i in range(200)] + [(1000 + i, edited(rng, base, 0.02)) for i in range(60)]
+    most, write = [], near_dup.Scratch.table
+
+    def measured(self, df, *kind):
+        out = write(self, df, *kind)
+        most.append(sum(p.stat().st_size for p in Path(self.at.removeprefix("file:")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(near_dup.Scratch, "table", measured)
+    assert {r.doc_id: r.n_links for r in near_dup.groups(frame(spark, rows)).collect()} == brute(rows)
+    assert 0 < max(most) < 0.4 * sum(len(t) for _, t in rows)
+
+
+def test_filters_that_let_all_through_change_nothing(spark, texts, monkeypatch):
+    want = {tuple(r) for r in near_dup.groups(frame(spark, texts)).collect()}
+    monkeypatch.setattr(near_dup, "among", lambda keys, shared: np.ones(len(keys), bool))
+    assert {tuple(r) for r in near_dup.groups(frame(spark, texts)).collect()} == want and want
+
+
 def test_containers_many_times_as_large(spark):
     """Documents contained whole and edited, in ones of 2 to 256 times their size; recall counts for each ratio."""
     rng = random.Random(16)
