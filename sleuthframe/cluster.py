@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 #: Rows handed to a Python worker at once while a scratch table is written: both sides hold a batch whole, and texts are long.
 BATCH_ROWS = 512
+#: Rows of a task, least and most, where a table is spread.
+TASK_ROWS = 100, 4000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table, each of which makes much work, over all cores: a file of a few MB is one task otherwise. The number of tasks follows that of the rows."""
+    rows = df.count()
+    n = max(min(rows // TASK_ROWS[0], 4 * df.sparkSession.sparkContext.defaultParallelism), rows // TASK_ROWS[1])
+    return df.repartition(n) if n > 1 else df
 
 
 def ship(spark: SparkSession) -> None:

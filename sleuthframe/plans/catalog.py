@@ -45,13 +45,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _code(check: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as s:
-        base = code.Code(s.table(code.extract(samples.code_base(table(spark, sf_dir, "supplier"), check).withColumn("file_ord", F.lit(0)))))
+        base = code.Code(s.table(code.extract(samples.code_base(table(spark, sf_dir, "supplier"), check).withColumn("file_ord", F.lit(0)), code.KINDS.get(check))))
         return s.result(code.run(base, [check]).select("file", "line", "check", "severity"))
 
 
 def _code_in_order(check: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as s:
-        base = code.Code.read(samples.code_base(table(spark, sf_dir, "supplier"), check), f"{s.at}/facts")
+        base = code.Code.read(samples.code_base(table(spark, sf_dir, "supplier"), check), f"{s.at}/facts", code.KINDS.get(check))
         return s.result(code.run(base, [check]).select("file", "line", "check", "severity"))
 
 

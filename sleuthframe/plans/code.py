@@ -28,12 +28,12 @@ class Code:
     at: str | None = None
 
     @classmethod
-    def read(cls, files: DataFrame, at: str | None = None) -> Code:
-        """files: path, src, and file_ord where the order isn't that of the paths."""
+    def read(cls, files: DataFrame, at: str | None = None, kinds: tuple[str, ...] | None = None) -> Code:
+        """files: path, src, and file_ord where the order isn't that of the paths. kinds: those of the facts that will be read, if not all."""
         if "file_ord" not in files.columns:
             order = files.select("path").withColumn("file_ord", F.row_number().over(W.orderBy(F.split("path", "/"))).cast("long"))
             files = files.join(order, "path")
-        facts = extract(files)
+        facts = extract(files, kinds)
         if at is None:
             return cls(facts.cache())
         facts.write.partitionBy("kind").parquet(at)
@@ -79,6 +79,8 @@ class Code:
 
 Check = Callable[[Code], DataFrame]
 CHECKS: dict[str, tuple[Check, str]] = {}
+#: The kinds of facts that a check reads, where they are few; all others read what they like.
+KINDS: dict[str, tuple[str, ...]] = {"duplicate-blocks": ("block",), "duplicate-except-blocks": ("handler",), "param-clumps": ("signature",)}
 
 
 def check(name: str, severity: str = "medium") -> Callable[[Check], Check]:
@@ -97,6 +99,7 @@ def local(name: str, severity: str = "medium") -> None:
         return rows.select(F.col("path").alias("file"), "line", F.col("name").alias("check"), F.col("x").alias("message"), F.col("y").alias("severity"), F.lit(list(CHECKS).index(name)).alias("check_ord"), _place())
 
     CHECKS[name] = (run, severity)
+    KINDS[name] = ("found",)
 
 
 def _place() -> Column:

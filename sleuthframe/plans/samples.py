@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..cluster import spread
+
 BALANCE = 4000
 MANY = "\n".join(f"    def m{i}(self):\n        return {i}" for i in range(20))
 LONG = "    step(x)\n" * 98 + "    step(x)"
@@ -660,7 +662,7 @@ def code_base(suppliers: DataFrame, check: str) -> DataFrame:
             got = [f for k, g, a in zip(b["s_suppkey"].to_pylist(), b["s_nationkey"].to_pylist(), b["s_acctbal"].to_pylist()) for f in sample.files(g, k, a is not None and a >= BALANCE)]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.string()), pa.array([s for _, s in got], pa.string())], ["path", "src"])
 
-    return suppliers.select("s_suppkey", "s_nationkey", "s_acctbal").mapInArrow(run, "path string, src string")
+    return spread(suppliers.select("s_suppkey", "s_nationkey", "s_acctbal")).mapInArrow(run, "path string, src string")
 
 
 def expected_sql(check: str) -> str:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ast
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from sleuthframe.plans import code, history, history_samples, samples
+from sleuthframe.sources import python_code
 
 CODE = "file_ord long, path string, src string"
 
@@ -83,3 +88,28 @@ def test_expected_coupling_is_left_out(spark):
     h = history_samples.history(Rows.frame(spark), "change-coupling")
     h.expected = [["*mod1_b.py", "pkg1/*"]]
     assert history.run(h, ["change-coupling"]).count() == 0
+
+
+def test_facts_of_some_kinds_are_those_of_all_in_the_same_order():
+    own = Path(python_code.__file__)
+    files = [(str(own), own.read_text())] + [f for s in samples.SAMPLES.values() for bad in (True, False) for f in s.files(1, 5, bad)]
+    for path, src in files:
+        rows = python_code.facts_of(3, path, src)
+        for kinds in {*code.KINDS.values()}:
+            got = python_code.facts_of(3, path, src, frozenset(kinds))
+            assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in rows if r[2] in kinds] and [r[3] for r in got] == sorted(r[3] for r in got)
+
+
+def test_blocks_of_a_long_function_cost_a_slice_each():
+    known = [python_code.levels(s) for s in ast.parse("step(x)\nif a:\n    b.c = d(1, k=2)\npass\n" * 30).body]
+    got = list(python_code.shapes(known, range(5, 20)))
+    assert got == [(n, i, python_code.shape(known[i : i + n])) for n in range(5, 20) for i in range(len(known) - n + 1)]
+
+
+def test_suppliers_become_many_tasks_and_few_batches(spark):
+    df = spark.range(1000).selectExpr("id as s_suppkey", "cast(id % 25 as int) as s_nationkey", "5000.0d as s_acctbal").coalesce(1)
+    base = samples.code_base(df, "long-function")
+    assert base.rdd.getNumPartitions() > 1 and base.count() == 1000
+    got = code.run(code.Code(code.extract(base.withColumn("file_ord", F.lit(0)), code.KINDS["long-function"])), ["long-function"])
+    assert got.count() == 1000 and got.select("file").distinct().count() == 1000
+    assert code.extract(base.withColumn("file_ord", F.lit(0)), ("found",)).select("kind").distinct().collect() == [("found",)]
