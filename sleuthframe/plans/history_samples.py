@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import spread
 from .history import CHECKS, History
 from .samples import BALANCE
 
@@ -90,6 +91,8 @@ def pattern(check: str, bad: bool) -> Pattern:
     raise KeyError(check)
 
 
+#: Suppliers whose rows leave a worker together.
+SUPPLIERS = 32
 ROWS = "kind string, path string, file_ord long, lines int, hash string, seq long, ts timestamp, ts_raw string, author string, subject string, ins int, dels int"
 _NAMES = [f.split()[0] for f in ROWS.split(", ")]
 _TYPES = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
@@ -110,14 +113,18 @@ def rows(check: str, k: int, bad: bool) -> list[tuple]:
 def history(suppliers: DataFrame, check: str) -> History:
     """The history of all suppliers (s_suppkey, s_acctbal) for a check."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [r for k, a in zip(b["s_suppkey"].to_pylist(), b["s_acctbal"].to_pylist()) for r in rows(check, k, a is not None and a >= BALANCE)]
-            cols = list(zip(*got)) if got else [[]] * len(_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _TYPES)], _NAMES)
+    def of(kind: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                # A worker holds the rows of a few suppliers, however many come in a batch.
+                for part in (b.slice(i, SUPPLIERS) for i in range(0, b.num_rows, SUPPLIERS)):
+                    got = [r for k, a in zip(part["s_suppkey"].to_pylist(), part["s_acctbal"].to_pylist()) for r in rows(check, k, a is not None and a >= BALANCE) if r[0] == kind]
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), _TYPES)], _NAMES)
 
-    all_rows = suppliers.select("s_suppkey", "s_acctbal").mapInArrow(run, ROWS)
-    of = lambda kind: all_rows.filter(F.col("kind") == kind)
+        return spread_.mapInArrow(run, ROWS)
+
+    spread_ = spread(suppliers.select("s_suppkey", "s_acctbal"))
     touched = of("touch")
     return History(
         of("file").select("file_ord", "path", F.col("lines").alias("n_lines_ast")),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,38 @@ def test_suppliers_become_many_tasks_and_few_batches(spark):
     got = code.run(code.Code(code.extract(base.withColumn("file_ord", F.lit(0)), code.KINDS["long-function"])), ["long-function"])
     assert got.count() == 1000 and got.select("file").distinct().count() == 1000
     assert code.extract(base.withColumn("file_ord", F.lit(0)), ("found",)).select("kind").distinct().collect() == [("found",)]
+
+
+class Caught:
+    """Stands for a frame of suppliers: keeps the functions that are to run over its batches."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.maps = spark, []
+
+    def select(self, *_):
+        return self
+
+    filter = select
+
+    def count(self):
+        return 1
+
+    def mapInArrow(self, f, _):  # noqa: N802
+        self.maps.append(f)
+        return self
+
+
+@pytest.mark.parametrize("name", ["test-erosion", "blast-radius"])
+def test_a_worker_holds_the_commits_of_few_suppliers(spark, name):
+    df = Caught(spark)
+    history_samples.history(df, name)
+    batch = pa.RecordBatch.from_pydict({"s_suppkey": list(range(2000)), "s_acctbal": [5000.0] * 2000})
+    found = [sum(b.num_rows for b in f(iter([batch]))) for f in df.maps]
+    assert max(found) >= 2000 * 27
+    tracemalloc.start()
+    for f in df.maps:
+        for b in f(iter([batch])):
+            assert b.num_rows < 5000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
