@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -20,6 +21,26 @@ from ..sources.python_code import extract
 FINDING = "file string, line int, check string, message string, severity string, check_ord int, seq long"
 
 
+#: Paths that the driver sees to find where ranges of paths end, and how many of them make a range.
+SEEN, RANGE = 8192, 32
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """Files with file_ord, their number in the order of paths. Ranges of paths are numbered apart, each from the number of paths before it, so that no task holds them all."""
+    parts = F.split("path", "/")
+    files = files.filter("path is not null")
+    seen = sorted(r[0].split("/") for r in files.select("path").orderBy(F.xxhash64("path"), "path").limit(SEEN).collect())
+    bounds = seen[RANGE::RANGE]
+    if not bounds:
+        return files.withColumn("file_ord", F.row_number().over(W.orderBy(parts)).cast("long"))
+    ends = F.array(*(F.array(*map(F.lit, b)) for b in bounds))
+    files = files.withColumn("range", F.size(F.filter(ends, lambda b: b <= parts)))
+    counts = dict(files.groupBy("range").count().collect())
+    before = [0, *itertools.accumulate(counts.get(i, 0) for i in range(len(bounds)))]
+    at = F.row_number().over(W.partitionBy("range").orderBy(parts)) + F.get(F.array(*map(F.lit, before)), F.col("range"))
+    return files.repartition(len(bounds) + 1, "range").withColumn("file_ord", at.cast("long")).drop("range")
+
+
 @dataclass
 class Code:
     """The facts of a code base. They are cached, or, where `at` names a folder that all executors share, written there by kind, so that each check reads its own kinds only."""
@@ -31,8 +52,7 @@ class Code:
     def read(cls, files: DataFrame, at: str | None = None, kinds: tuple[str, ...] | None = None) -> Code:
         """files: path, src, and file_ord where the order isn't that of the paths. kinds: those of the facts that will be read, if not all."""
         if "file_ord" not in files.columns:
-            order = files.select("path").withColumn("file_ord", F.row_number().over(W.orderBy(F.split("path", "/"))).cast("long"))
-            files = files.join(order, "path")
+            files = in_order(files)
         facts = extract(files, kinds)
         if at is None:
             return cls(facts.cache())

@@ -150,3 +150,14 @@ def test_a_worker_holds_the_commits_of_few_suppliers(spark, name):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10e6
+
+
+def test_files_are_numbered_in_ranges(spark):
+    paths = [f"p{k % 7}/{d}m{k}.py" for k in range(300) for d in ("", "a/", "a-b/")] + ["p1.py", "p1", "p1/a"]
+    df = spark.createDataFrame([(p, "x") for p in paths] + [(None, "x")], "path string, src string")
+    got = code.in_order(df)
+    assert [r.path for r in got.orderBy("file_ord").collect()] == sorted(paths, key=lambda p: p.split("/"))
+    assert sorted(r.file_ord for r in got.collect()) == list(range(1, len(paths) + 1))
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 5 and max(r["count"] for r in sizes) < len(paths) / 3
+    assert code.in_order(df.limit(0)).count() == 0
